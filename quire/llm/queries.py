@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, media
+from quire.llm import exact_dedup, media, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,11 +51,31 @@ FROM t
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words and more that a smaller document has."""
+    return substring_dedup.remove_duplicates(_documents(spark, sf_dir), texts_too=False)
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+starts AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first_doc FROM starts) WHERE first_doc < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM repeated),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS x, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     """Name -> (spark, sf_dir) -> DataFrame."""
     return {
         "op2_media_columns": op2_media_columns,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
     }
 
 
@@ -63,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
     return {
         "op3_exact_dedup": OP3_SQL,
+        "op5_substring_dedup": OP5_SQL,
     }
