@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, media, substring_dedup
+from quire.llm import exact_dedup, language_id, media, substring_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,12 +70,31 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from four fifths of the documents."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.detect(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, by the rules or else by trust and distrust of its host."""
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def queries() -> dict[str, Query]:
     """Name -> (spark, sf_dir) -> DataFrame."""
     return {
         "op2_media_columns": op2_media_columns,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_substring_dedup": op5_substring_dedup,
+        "op9_language_id": op9_language_id,
+        "op10_url_filter": op10_url_filter,
     }
 
 
