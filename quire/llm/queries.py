@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, language_id, media, substring_dedup, url_filter
+from quire.llm import exact_dedup, language_id, media, ngram_lm, substring_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,11 @@ FROM t
 """
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under a mixed bigram model of the documents that are not held out."""
+    return ngram_lm.score_documents(_documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 50 words and more that a smaller document has."""
     return substring_dedup.remove_duplicates(_documents(spark, sf_dir), texts_too=False)
@@ -92,6 +97,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_media_columns": op2_media_columns,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_substring_dedup": op5_substring_dedup,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,

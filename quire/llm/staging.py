@@ -49,7 +49,7 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
         _written[app] = []
         atexit.register(_delete, spark, _written[app])
     _written[app].append(path)
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
