@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable
+from pathlib import Path
 from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, language_id, media, ngram_lm, substring_dedup, url_filter
+from quire.llm import exact_dedup, language_id, media, ngram_lm, staging, substring_dedup, token_store, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +77,15 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every document's place and ids in a store that is written and read back. tokenizer: the path of its JSON, on the driver."""
+    path = staging.new_path(spark, "tokens")
+    definition = Path(tokenizer or public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    token_store.write_store(_documents(spark, sf_dir), path, definition)
+    staging.release(spark)
+    return token_store.read_store(spark, path)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from four fifths of the documents."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -99,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_lm_scoring": op4_lm_scoring,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_token_store": op6_token_store,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
     }

@@ -37,18 +37,24 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs only a re-read.
-
-    The files stay until the Python process ends, since results may still be read from them.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is taken by nothing else and deleted when the Python process ends."""
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/quire-{app}/{name}-{uuid.uuid4().hex}"
     if app not in _written:
         _written[app] = []
         atexit.register(_delete, spark, _written[app])
     _written[app].append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs only a re-read.
+
+    The files stay until the Python process ends, since results may still be read from them.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
