@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, language_id, media, ngram_lm, staging, substring_dedup, token_store, url_filter
+from quire.llm import exact_dedup, language_id, media, mixing, ngram_lm, sentencepiece_codec, staging, substring_dedup, token_store, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Shares of the expected tokens: text of high quality leads, some of low quality stays, and toxic text is left with what uncertain memberships add up to.
+DOMAIN_SHARES = {"high": 0.85, "low": 0.1, "toxic": 0.05}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", mixing.quality_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rate and copies for a mix with the shares above."""
+    return mixing.mixed(_documents(spark, sf_dir), labelled_domains(spark, sf_dir), DOMAIN_SHARES)
+
+
 _DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -86,6 +100,17 @@ def op6_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_store.read_store(spark, path)
 
 
+def encoded_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, decoded_sha256) of documents in SentencePiece ids and back. model: the path of its file, on the driver."""
+    data = Path(model or public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return sentencepiece_codec.encoded(docs, data).select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return encoded_digest(_documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from four fifths of the documents."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -106,11 +131,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """Name -> (spark, sf_dir) -> DataFrame."""
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_media_columns": op2_media_columns,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_lm_scoring": op4_lm_scoring,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_token_store": op6_token_store,
+        "op7_sentencepiece": op7_sentencepiece,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
     }
