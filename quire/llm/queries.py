@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, language_id, media, mixing, ngram_lm, sentencepiece_codec, staging, substring_dedup, token_store, url_filter
+from quire.llm import exact_dedup, jaccard_join, language_id, media, mixing, ngram_lm, sentencepiece_codec, staging, substring_dedup, token_store, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +111,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digest(_documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near duplicates."""
+    return jaccard_join.near_duplicates(_documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from four fifths of the documents."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -138,6 +143,7 @@ def queries() -> dict[str, Query]:
         "op5_substring_dedup": op5_substring_dedup,
         "op6_token_store": op6_token_store,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
     }
