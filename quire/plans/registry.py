@@ -1,19 +1,369 @@
-"""All queries over the driver's tables, by name."""
+"""All queries over the driver's tables, by name, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import fields, numbers, sniff, text
+from quire.operators import blocks, chunks, compare, forms, lint, quality, redact, tables
+from quire.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
     """Name -> (spark, sf_dir) -> DataFrame."""
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: White space as the text functions see it, for RE2.
+_W = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_TRIM = rf"^{_W}+|{_W}+$"
+
+_BLOCKS_SQL = f"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS block_id, 'paragraph' AS type, t AS text
+FROM (SELECT doc_id, line, regexp_replace(x, '{_TRIM}', '', 'g') AS t
+      FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents))
+WHERE t <> ''
+"""
+
+
+@_query(f"SELECT doc_id, block_id::INT AS block_id, type, text FROM ({_BLOCKS_SQL})")
+def blocks_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.paragraph_blocks(_table(spark, sf_dir, "documents")).drop("level")
+
+
+_HTML_SQL = r"""
+SELECT page_id AS doc_id, i::INT AS block_id, lower(regexp_extract(b, '^<(\w+)', 1)) AS tag FROM (
+  SELECT page_id, unnest(bs) AS b, unnest(range(len(bs))) AS i FROM (
+    SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'),
+      '(?is)<h1\b[^>]*>.*?</h1\s*>|<p\b[^>]*>.*?</p\s*>|<li\b[^>]*>.*?</li\s*>') AS bs FROM pages))
+"""
+
+
+@_query(f"SELECT doc_id, block_id, CASE WHEN tag = 'h1' THEN 'heading' WHEN tag = 'li' THEN 'list' ELSE 'paragraph' END AS type, CASE WHEN tag = 'h1' THEN 1 ELSE 0 END::INT AS level FROM ({_HTML_SQL})")
+def blocks_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.html_blocks(_table(spark, sf_dir, "pages")).drop("text").withColumn("level", F.coalesce("level", F.lit(0)))
+
+
+@_query()
+def outline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.outline(blocks.html_blocks(_table(spark, sf_dir, "pages")))
+
+
+_QUALITY_SQL = r"""
+SELECT doc_id, lang, length(b) AS n, length(b) - length(regexp_replace(b, '[\x{AC00}-\x{D7A3}]', '', 'g')) AS hangul,
+       length(b) - length(regexp_replace(b, '[\x00-\x1F\x7F\x{80}-\x{9F}]', '', 'g')) AS control, length(b) - length(regexp_replace(b, '\x{FFFD}', '', 'g')) AS replacement,
+       length(b) - length(regexp_replace(b, '[\x{E000}-\x{F8FF}]', '', 'g')) AS private
+FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[\x20\t\n\r]', '', 'g') AS b FROM documents)
+"""
+_REASON_SQL = "CASE WHEN n < 20 THEN 'low_text' WHEN private / greatest(n, 1) >= 0.2 THEN 'high_pua' WHEN control / greatest(n, 1) >= 0.05 THEN 'high_control' WHEN replacement / greatest(n, 1) >= 0.05 THEN 'high_replacement' END"
+
+
+@_query(f"SELECT doc_id, n AS text_chars, round(hangul / greatest(n, 1), 6) AS hangul_ratio, round(control / greatest(n, 1), 6) AS control_ratio, ({_REASON_SQL}) AS ocr_reason, ({_REASON_SQL}) IS NOT NULL AS needs_ocr FROM ({_QUALITY_SQL})")
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.page_quality(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", F.col("text_chars").cast("long"), *[F.round(c, 6).alias(c) for c in ("hangul_ratio", "control_ratio")], "ocr_reason", "needs_ocr")
+
+
+@_query(f"""SELECT lang, count(*) AS total_pages, sum(n)::BIGINT AS total_text_chars, round(avg(hangul / greatest(n, 1)), 6) AS avg_hangul_ratio, round(avg(control / greatest(n, 1)), 6) AS avg_control_ratio,
+round(avg(replacement / greatest(n, 1)), 6) AS avg_replacement_ratio, round(avg(private / greatest(n, 1)), 6) AS avg_pua_ratio, count(*) FILTER (n < 20) AS low_text_pages,
+count(*) FILTER (private / greatest(n, 1) >= 0.2) AS high_pua_pages, count(*) FILTER (({_REASON_SQL}) IS NOT NULL) / count(*) >= 0.3 AS needs_ocr FROM ({_QUALITY_SQL}) GROUP BY lang""")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_summary(quality.page_quality(_table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "lang")
+
+
+@_query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{{80}}-\x{{9F}}]', '', 'g'), '{_W}+', ' ', 'g'), '{_TRIM}', '', 'g') AS cleaned FROM documents""")
+def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.squeeze(text.strip_control(F.col("text"))).alias("cleaned"))
+
+
+@_query("""SELECT page_id, CASE WHEN strlen(html) < 4 THEN 'unknown' WHEN html LIKE 'PK' || chr(3) || chr(4) || '%' THEN 'hwpx' WHEN html LIKE '\\%PDF%' ESCAPE '\\' THEN 'pdf'
+WHEN regexp_matches(html, '^\\s*<\\?xml') AND contains(html[1:512], '<HWPML') THEN 'hwpml' ELSE 'unknown' END AS format FROM pages""")
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", sniff.detect_format(F.encode("html", "UTF-8")).alias("format"))
+
+
+_RANGES_SQL = fx.values_sql(fx.RANGES, "spec, max_pages")
+
+
+@_query(f"""SELECT DISTINCT case_id::BIGINT AS case_id, p::INT AS page FROM (SELECT case_id, unnest(range(lo, hi + 1)) AS p FROM (
+SELECT case_id, CASE WHEN regexp_matches(x, '^\\d+\\s*-\\s*\\d+$') THEN greatest(1, regexp_extract(x, '^(\\d+)', 1)::INT) ELSE try_cast(regexp_extract(x, '^\\d+', 0) AS INT) END AS lo,
+CASE WHEN regexp_matches(x, '^\\d+\\s*-\\s*\\d+$') THEN least(max_pages, regexp_extract(x, '(\\d+)$', 1)::INT) ELSE try_cast(regexp_extract(x, '^\\d+', 0) AS INT) END AS hi, max_pages
+FROM (SELECT case_id, max_pages, trim(unnest(string_split(spec, ','))) AS x FROM {_RANGES_SQL})) WHERE lo >= 1 AND hi <= max_pages AND lo <= hi)""")
+def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.page_range(fx.numbered(spark, fx.RANGES, "spec string, max_pages int")).select("case_id", "page")
+
+
+_PAGED_SQL = f"SELECT doc_id, block_id, text, CASE WHEN block_id % 7 <> 3 THEN block_id // 20 + 1 END AS page_number FROM ({_BLOCKS_SQL})"
+
+
+@_query(f"""WITH b AS ({_PAGED_SQL}),
+f AS (SELECT doc_id, arg_min(page_number, block_id) FILTER (page_number IS NOT NULL) AS first_page FROM b GROUP BY doc_id),
+a AS (SELECT doc_id, block_id, text, coalesce(last_value(page_number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_id), first_page) AS page FROM b JOIN f USING (doc_id) WHERE first_page IS NOT NULL),
+s AS (SELECT doc_id, unnest(range(min(page), max(page) + 1)) AS page FROM a GROUP BY doc_id)
+SELECT doc_id, page::INT AS page_number, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY block_id), '') AS markdown FROM s LEFT JOIN a USING (doc_id, page) GROUP BY doc_id, page""")
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = blocks.paragraph_blocks(_table(spark, sf_dir, "documents"))
+    paged = own.withColumn("page_number", F.when(F.col("block_id") % 7 != 3, (F.col("block_id") / 20).cast("int") + 1))
+    return blocks.page_markdown(paged)
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines: every customer's nation as a header above its name, a document for each region."""
+    c, n = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "nation")
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_regionkey").cast("long").alias("doc_id"), "c_custkey", F.concat(F.lit("1. "), F.col("n_name")).alias("head"), F.col("c_name").alias("body"))
+    both = rows.select("doc_id", F.explode(F.array(F.struct((F.col("c_custkey") * 2).alias("block_id"), F.col("head").alias("text")), F.struct((F.col("c_custkey") * 2 + 1).alias("block_id"), F.col("body").alias("text")))).alias("b"))
+    return both.select("doc_id", "b.block_id", F.lit("paragraph").alias("type"), "b.text")
+
+
+@_query("""WITH b AS (SELECT n_regionkey AS doc_id, unnest([c_custkey * 2, c_custkey * 2 + 1]) AS block_id, unnest(['1. ' || n_name, c_name]) AS text FROM customer JOIN nation ON c_nationkey = n_nationkey),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text) AS n, row_number() OVER (PARTITION BY doc_id, text ORDER BY block_id) AS k, regexp_matches(text, '^\\d+\\.\\s') AND length(text) <= 40 AS cand FROM b)
+SELECT doc_id::BIGINT AS doc_id, block_id::BIGINT AS block_id, text FROM k WHERE NOT cand OR n < 3 OR k = 1""")
+def dedupe_running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.dedupe_running_headers(_headed(spark, sf_dir)).select("doc_id", F.col("block_id").cast("long").alias("block_id"), "text")
+
+
+@_query("""WITH b AS (SELECT n_regionkey AS doc_id, c_custkey AS page, c_nationkey AS block, '- ' || c_custkey || ' -' AS foot FROM customer JOIN nation ON c_nationkey = n_nationkey),
+n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM b GROUP BY doc_id)
+SELECT b.doc_id::BIGINT AS doc_id, page::BIGINT AS page, u AS block_id FROM (SELECT doc_id, page, unnest([0, 1]) AS u FROM b) b JOIN n USING (doc_id) WHERE u = 0 OR pages < 3""")
+def header_footer_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "nation")
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("c_custkey").cast("long").alias("page"), "c_name")
+    body = rows.select("doc_id", "page", F.lit(0).alias("block_id"), F.col("c_name").alias("text"), F.lit(400.0).alias("y"), F.lit(20.0).alias("height"), F.lit(800.0).alias("page_height"))
+    foot = rows.select("doc_id", "page", F.lit(1).alias("block_id"), F.concat(F.lit("- "), F.col("page").cast("string"), F.lit(" -")).alias("text"), F.lit(30.0).alias("y"), F.lit(10.0).alias("height"), F.lit(800.0).alias("page_height"))
+    return blocks.remove_header_footer(body.unionByName(foot)).select("doc_id", "page", "block_id")
+
+
+@_query("""WITH w AS (SELECT p_brand, p_size, sum(1) AS w FROM part GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY p_brand ORDER BY p_size) AS upto, sum(w) OVER (PARTITION BY p_brand) AS total FROM w)
+SELECT p_brand, min(p_size) AS median FROM r WHERE upto > floor(total / 2) GROUP BY p_brand""")
+def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.weighted_median(_table(spark, sf_dir, "part").withColumn("w", F.lit(1)), "p_brand", "p_size", "w")
+
+
+@_query("""WITH w AS (SELECT p_brand, p_size, count(*) AS w FROM part GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY p_brand ORDER BY p_size) AS upto, sum(w) OVER (PARTITION BY p_brand) AS total FROM w),
+m AS (SELECT p_brand, min(p_size) AS median FROM r WHERE upto > floor(total / 2) GROUP BY p_brand)
+SELECT p_partkey AS block_id, CASE WHEN p_size / median >= 1.5 THEN 1 WHEN p_size / median >= 1.3 THEN 2 WHEN p_size / median >= 1.15 THEN 3 ELSE 0 END::INT AS level,
+CASE WHEN p_size / median >= 1.15 THEN 'heading' ELSE 'paragraph' END AS type FROM part JOIN m USING (p_brand)""")
+def detect_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    medians = blocks.weighted_median(part.withColumn("w", F.lit(1)), "p_brand", "p_size", "w").withColumnRenamed("p_brand", "doc_id")
+    own = part.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("block_id"), F.lit("paragraph").alias("type"), F.col("p_name").alias("text"), F.lit(None).cast("int").alias("level"), F.col("p_size").alias("font_size"))
+    return blocks.detect_headings(own, medians).select("block_id", F.coalesce("level", F.lit(0)).alias("level"), "type")
+
+
+@_query()
+def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.numbered(spark, fx.LABELS, "text string")
+    return found.select("case_id", "text", fields.is_label_cell(F.col("text")).alias("is_label"), fields.is_keyword_label(F.col("text")).alias("is_keyword"), fields.normalize_label(F.col("text")).alias("norm"))
+
+
+@_query()
+def field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = fx.numbered(spark, fx.TYPES, "label string, value string")
+    own = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("case_id"), F.lit("연락처").alias("label"), F.col("c_name").alias("value"))
+    return forms.form_schema(literal.unionByName(own))
+
+
+@_query()
+def fill_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.numbered(spark, fx.FORMATS, "value string, format string")
+    return found.withColumn("filled", fields.format_fill_value(F.col("value"), F.col("format")))
+
+
+@_query("SELECT * FROM (VALUES (0, '1900-01-01'), (1, '1900-02-28'), (2, '1900-03-01'), (3, '2024-01-15'), (4, '1904-01-01'), (5, NULL), (6, '2024-01-15T18:00:00')) AS v(case_id, iso)")
+def date_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.numbered(spark, fx.SERIALS, "serial double, date1904 boolean, kind string")
+    return found.select("case_id", numbers.serial_to_iso(F.col("serial"), F.col("date1904"), F.col("kind")).alias("iso"))
+
+
+@_query("""SELECT n_nationkey AS n, ['가','나','다','라','마','바','사','아','자','차','카','타','파','하','거','너','더','러','머','버','서','어','저','처','커'][n_nationkey + 1] AS hangul,
+CASE WHEN n_nationkey < 20 THEN chr(9312 + n_nationkey) ELSE chr(12881 + n_nationkey - 20) END AS circled,
+['1','I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV','XVI','XVII','XVIII','XIX','XX','XXI','XXII','XXIII','XXIV'][n_nationkey + 1] AS roman FROM (SELECT n_nationkey::INT AS n_nationkey FROM nation)""".replace("['1','I'", "['0','I'"))
+def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey").cast("int")
+    return _table(spark, sf_dir, "nation").select(n.alias("n"), numbers.hangul_ordinal(n).alias("hangul"), numbers.circled_number(n).alias("circled"), numbers.roman_numeral(n).alias("roman"))
+
+
+def _nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each region: a row for each nation, with its key and name."""
+    n = _table(spark, sf_dir, "nation")
+    rows = n.selectExpr("cast(n_regionkey as long) as table_id", "cast(row_number() over (partition by n_regionkey order by n_nationkey) as int) as r", "cast(n_nationkey as string) as k", "n_name")
+    body = rows.select("table_id", "r", F.posexplode(F.array("k", "n_name")).alias("c", "text"))
+    head = n.select(F.col("n_regionkey").cast("long").alias("table_id")).distinct().select("table_id", F.lit(0).alias("r"), F.posexplode(F.array(F.lit("key"), F.lit("name"))).alias("c", "text"))
+    return body.unionByName(head).select("*", F.lit(1).alias("col_span"), F.lit(1).alias("row_span"))
+
+
+_NATION_SQL = """SELECT n_regionkey::BIGINT AS table_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS r, n_nationkey, n_name FROM nation"""
+
+
+@_query(f"SELECT table_id, r, u::INT AS c, CASE WHEN u = 0 THEN n_nationkey::VARCHAR ELSE n_name END AS text, false AS is_header FROM ({_NATION_SQL}), (SELECT unnest([0, 1]) AS u) UNION ALL SELECT DISTINCT n_regionkey::BIGINT, 0, u, ['key', 'name'][u + 1], true FROM nation, (SELECT unnest([0, 1]) AS u)")
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.build_grid(_nation_cells(spark, sf_dir), ["table_id"]).select("table_id", "r", "c", "text", "is_header")
+
+
+@_query(f"SELECT table_id, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY r) AS markdown FROM ({_NATION_SQL}) GROUP BY table_id")
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.to_markdown(tables.build_grid(_nation_cells(spark, sf_dir), ["table_id"]), ["table_id"])
+
+
+@_query(f"SELECT table_id, 'key / name' || chr(10) || string_agg(n_nationkey || ' / ' || n_name, chr(10) ORDER BY r) AS text FROM ({_NATION_SQL}) GROUP BY table_id")
+def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.to_text(tables.build_grid(_nation_cells(spark, sf_dir), ["table_id"]), ["table_id"])
+
+
+@_query(f"SELECT table_id, r, u::INT AS c, CASE WHEN u = 0 THEN n_nationkey::VARCHAR ELSE n_name END AS text FROM ({_NATION_SQL}), (SELECT unnest([0, 1]) AS u) UNION ALL SELECT DISTINCT n_regionkey::BIGINT, 0, u, ['key', 'name'][u + 1] FROM nation, (SELECT unnest([0, 1]) AS u)")
+def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.parse_markdown_rows(table_markdown(spark, sf_dir), ["table_id"])
+
+
+@_query("""SELECT o_orderkey AS table_id, c::INT AS c, CASE WHEN c = 1 AND o_orderkey % 3 = 0 THEN 'modified' WHEN c = 2 AND o_orderkey % 5 = 0 THEN 'removed' WHEN c = 3 THEN 'added' ELSE 'unchanged' END AS type
+FROM orders, (SELECT unnest([0, 1, 2, 3]) AS c)""")
+def cell_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    cells = lambda *x: o.select("table_id", F.lit(0).alias("r"), F.posexplode(F.array(*x)).alias("c", "text")).where("text is not null")
+    key = F.col("table_id").cast("string")
+    before = cells(key, "s", "p")
+    after = cells(key, F.when(F.col("table_id") % 3 == 0, F.concat("s", F.lit("*"))).otherwise(F.col("s")), F.when(F.col("table_id") % 5 != 0, F.col("p")), F.lit("new"))
+    return tables.cell_diff(before, after, ["table_id"]).select("table_id", "c", "type")
+
+
+def _customer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form for each customer: name, number and segment beside their labels."""
+    c = _table(spark, sf_dir, "customer")
+    rows = F.array(*[F.struct(F.lit(i).alias("r"), F.lit(label).alias("label"), v.cast("string").alias("value")) for i, (label, v) in enumerate((("성명", F.col("c_name")), ("고객 번호", F.col("c_custkey")), ("소속:", F.col("c_mktsegment"))))])
+    flat = c.select(F.col("c_custkey").cast("long").alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", F.lit(0).alias("table_id"), "x.r", F.posexplode(F.array("x.label", "x.value")).alias("c", "text"))
+    return flat
+
+
+@_query("""SELECT c_custkey::BIGINT AS doc_id, ['성명', '고객 번호', '소속'][i + 1] AS label, CASE i WHEN 0 THEN c_name WHEN 1 THEN c_custkey::VARCHAR ELSE c_mktsegment END AS value, i::INT AS r
+FROM customer, (SELECT unnest([0, 1, 2]) AS i)""")
+def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.table_fields(_customer_forms(spark, sf_dir), ["doc_id"]).select("doc_id", "label", "value", "r")
+
+
+def _given(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("성명", 0, 0, "김"), ("고객번호입력", 1, 0, "7"), ("소속", 2, 0, "가"), ("소속", 2, 1, "나"), ("주소지", 3, 0, "서울")], "key string, key_no int, value_index int, value string")
+
+
+@_query("""SELECT c_custkey::BIGINT AS doc_id, ['성명', '고객 번호', '소속'][i + 1] AS label, CASE i WHEN 0 THEN '성명' WHEN 2 THEN '소속' END AS matched_key FROM customer, (SELECT unnest([0, 1, 2]) AS i)""")
+def key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forms.table_fields(_customer_forms(spark, sf_dir), ["doc_id"]).select("doc_id", "label")
+    return forms.match_keys(found, _given(spark).select("key", "key_no").distinct())
+
+
+@_query("SELECT * FROM (VALUES ('고객번호입력'), ('주소지')) AS v(key)")
+def unmatched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.unmatched(_given(spark).select("key").distinct(), key_match(spark, sf_dir))
+
+
+@_query("SELECT '성명' AS key FROM customer HAVING count(*) >= 2")
+def unique_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.unique_guard(key_match(spark, sf_dir), _given(spark))[1]
+
+
+@_query()
+def redact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(fx.numbered(spark, fx.PERSONAL, "text string").select((-1 - F.col("case_id")).alias("doc_id"), "text"))
+    return own.select("doc_id", F.explode(redact.redacted("text")["hits"]).alias("h")).select("doc_id", "h.*")
+
+
+@_query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS emails, length(text) AS n FROM documents""")
+def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", redact.redacted("text", ("email",)).alias("r"))
+    return found.select("doc_id", F.size("r.hits").cast("long").alias("emails"), F.length("r.text").cast("long").alias("n"))
+
+
+@_query()
+def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(fx.numbered(spark, fx.NOTATION, "text string").select((-1 - F.col("case_id")).alias("doc_id"), "text"))
+    return lint.findings(own, ["doc_id"])
+
+
+@_query(r"""WITH f AS (SELECT doc_id, len(regexp_extract_all(text, '[—–―]')) AS n FROM documents) SELECT doc_id, n AS total, 0::BIGINT AS errors FROM f WHERE n > 0""")
+def lint_dashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.summary(lint.findings(_table(spark, sf_dir, "documents"), ["doc_id"]).where("rule = 'AI_EM_DASH'"), ["doc_id"])
+
+
+def _conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a heading, its turns as headings by role with their text below."""
+    turns = _table(spark, sf_dir, "conversations")
+    head = turns.select(F.col("conv_id").alias("doc_id")).distinct().select("doc_id", F.lit(-1).cast("long").alias("k"), F.lit("heading").alias("type"), F.concat(F.lit("conversation "), F.col("doc_id").cast("string")).alias("text"), F.lit(1).alias("level"))
+    role = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2).alias("k"), F.lit("heading").alias("type"), F.col("role").alias("text"), F.lit(2).alias("level"))
+    said = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2 + 1).alias("k"), F.lit("table").alias("type"), "text", F.lit(None).cast("int").alias("level"))
+    return head.unionByName(role).unionByName(said).withColumnRenamed("k", "block_id").withColumn("block_id", F.col("block_id").cast("int"))
+
+
+@_query(f"""WITH b AS (SELECT DISTINCT conv_id AS doc_id, -1 AS k, 'heading' AS type, '# conversation ' || conv_id AS text, '' AS crumb FROM conversations
+UNION ALL SELECT conv_id, turn * 2, 'heading', '## ' || role, 'conversation ' || conv_id FROM conversations
+UNION ALL SELECT conv_id, turn * 2 + 1, 'table', regexp_replace(text, '{_TRIM}', '', 'g'), 'conversation ' || conv_id || ' > ' || role FROM conversations WHERE regexp_replace(coalesce(text, ''), '{_TRIM}', '', 'g') <> '')
+SELECT doc_id, 'c' || lpad(row_number() OVER (PARTITION BY doc_id ORDER BY k)::VARCHAR, 4, '0') AS chunk_id, type, crumb, text, k::INT AS first_block FROM b""")
+def chunks_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.chunks(_conversation_blocks(spark, sf_dir))
+    return found.select("doc_id", "chunk_id", "type", F.array_join("breadcrumb", " > ").alias("crumb"), "text", "first_block")
+
+
+@_query()
+def chunks_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.chunks(blocks.html_blocks(_table(spark, sf_dir, "pages")))
+    return found.select("doc_id", "chunk_id", "type", F.array_join("breadcrumb", " > ").alias("crumb"), "text", "first_block", "last_block")
+
+
+@_query()
+def list_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "nation").selectExpr("cast(n_regionkey as long) as doc_id", "cast(row_number() over (partition by n_regionkey order by n_nationkey) as int) as block_id", "n_name")
+    own = n.select("doc_id", "block_id", F.lit("paragraph").alias("type"), F.concat(F.col("block_id").cast("string"), F.lit(". "), F.col("n_name")).alias("text"))
+    return blocks.list_chains(own).select("doc_id", "block_id", "family", "ordinal", "chain")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of documents, and the same with every fifth left out, every seventh ending changed."""
+    own = blocks.paragraph_blocks(_table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "pair_id")
+    after = own.where("block_id % 5 <> 4").withColumn("text", F.when(F.col("block_id") % 7 == 6, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+    return own, after
+
+
+@_query()
+def block_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.diff_stats(compare.diff_blocks(*_versions(spark, sf_dir)))
+
+
+@_query()
+def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "conversations")
+    a, b = t.select("conv_id", "turn", F.col("text").alias("a")), t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    found = a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", compare.diffed_words("a", "b").alias("d"))
+    count = lambda k: F.size(F.filter("d", lambda x: x["type"] == k)).alias(k)
+    return found.select("conv_id", "turn", count("equal"), count("insert"), count("delete"))
+
+
+@_query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(CASE WHEN a.n_name = b.n_name THEN 1.0 ELSE 1.0 - levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(length(a.n_name), length(b.n_name)) END, 6) AS similarity
+FROM nation a JOIN nation b USING (n_regionkey)""")
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "nation")
+    a, b = n.select("n_regionkey", F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), n.select("n_regionkey", F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))
+    return a.join(b, "n_regionkey").select("a", "b", F.round(text.normalized_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
