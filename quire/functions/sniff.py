@@ -28,8 +28,8 @@ def is_hwp3(content: Column) -> Column:
 
 def is_hwpml(content: Column) -> Column:
     """An XML declaration, and the root's name within 512 bytes."""
-    head = F.regexp_replace(F.decode(F.substring(content, 1, 512), "UTF-8"), r"^\x{FEFF}", "")
-    return head.rlike(r"^\s*<\?xml") & head.contains("<HWPML")
+    head = F.decode(F.substring(content, 1, 512), "ISO-8859-1")  # never malformed; a UTF-8 mark reads as three characters
+    return head.rlike(r"^(?:\xEF\xBB\xBF)?\s*<\?xml") & head.contains("<HWPML")
 
 
 def is_image(content: Column) -> Column:
