@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.staging import bound_batches
+from quire.llm.table import SpanCache, Table
 from quire.llm.text import _BYTE_VALUES, _powers, slices, span_hashes, text_bytes
 
 UNIGRAM, BPE = 1, 2
@@ -69,51 +71,6 @@ def _fields(data: memoryview) -> Iterator[tuple[int, object]]:
             at += n
 
 
-class Table:
-    """Whole numbers by 64-bit key, looked up many at a time. A key lies in one of two slots; one that is put out of its slot goes to its other."""
-
-    def __init__(self, log2: int) -> None:
-        self.log2, self.n = log2, 0
-        self.keys, self.values, self.full = np.zeros(1 << log2, np.uint64), np.zeros(1 << log2, np.int32), np.zeros(1 << log2, bool)
-
-    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift = np.uint64(64 - self.log2)
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), ((keys * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The values; -1 for keys that aren't there."""
-        a, b = self._slots(keys)
-        out = np.where(self.full[a] & (self.keys[a] == keys), self.values[a], -1)
-        rest = np.flatnonzero(out < 0)
-        b = b[rest]
-        out[rest] = np.where(self.full[b] & (self.keys[b] == keys[rest]), self.values[b], -1)
-        return out
-
-    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Adds distinct keys that aren't there yet."""
-        if (self.n + len(keys)) * 3 > len(self.keys):
-            self._grow(self.n + len(keys))
-        firsts, seconds = (x.tolist() for x in self._slots(keys))
-        for i, (key, value, a, b) in enumerate(zip(keys, values, firsts, seconds, strict=True)):
-            slot, turns = (b if self.full[a] else a), 0
-            while self.full[slot] and turns < 200:
-                key, self.keys[slot] = self.keys[slot], key
-                value, self.values[slot] = self.values[slot], value
-                (x,), (y,) = self._slots(np.array([key], np.uint64))
-                slot, turns = int(y if slot == x else x), turns + 1
-            if self.full[slot]:
-                self._grow(len(self.keys))
-                return self.put(np.append(key, keys[i + 1 :]), np.append(value, values[i + 1 :]))
-            self.keys[slot], self.values[slot], self.full[slot] = key, value, True
-            self.n += 1
-        return None
-
-    def _grow(self, n: int) -> None:
-        keys, values = self.keys[self.full], self.values[self.full]
-        self.__init__(max(self.log2 + 1, (n * 3).bit_length()))
-        self.put(keys, values)
-
-
 @dataclass
 class Model:
     """What a .model file holds, and tables made from it."""
@@ -128,6 +85,7 @@ class Model:
     bytes_at: int = -1
     unknown: int = 0
     pairs: Table = field(default_factory=lambda: Table(18))
+    known: SpanCache = field(default_factory=SpanCache)
 
     @classmethod
     def read(cls, data: bytes) -> Model:
@@ -325,10 +283,12 @@ class Model:
         cut[bounds] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(flat)) if len(starts) else starts
-        _, first, word = np.unique(span_hashes(flat, starts, ends), return_index=True, return_inverse=True)
-        a, size = starts[first], (ends - starts)[first]
+        hashes, first, word = np.unique(span_hashes(flat, starts, ends), return_index=True, return_inverse=True)
+        places = self.known.find(hashes)
+        new = np.flatnonzero(places < 0)
+        a, size = starts[first[new]], (ends - starts)[first[new]]
         order = np.argsort(size, kind="stable")
-        counts, lists = np.zeros(len(first), np.int64), []
+        counts, lists = np.zeros(len(new), np.int64), [np.zeros(0, np.int64)]
         i = 0
         while i < len(order):
             width = int(size[order[i]])
@@ -338,12 +298,8 @@ class Model:
             counts[own] = n
             lists.append(pieces)
             i = j
-        pieces = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        begin = np.zeros(len(first), np.int64)
-        begin[order] = np.cumsum(counts[order]) - counts[order]
-        n = counts[word]
-        place = np.cumsum(n) - n
-        ids = pieces[np.repeat(begin[word] - place, n) + np.arange(int(n.sum()))]
+        places[new[order]] = self.known.add(hashes[new[order]], counts[order], np.concatenate(lists))
+        n, ids = self.known.gather(places[word])
         return ids, np.append(0, np.cumsum(n))[np.searchsorted(starts, bounds)]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -367,6 +323,7 @@ def _opened(data: bytes) -> Model:
 
 def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids: the pieces as little-endian 32-bit integers, n_pieces, decoded: the text again). model: the file's bytes."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file: a megabyte or so
     kind = docs.schema[id_col].dataType
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,11 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs whose results are staged."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of jobs whose results are staged: it acts on what two collections find unused."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -48,19 +51,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs only a re-read.
 
-    The files stay until the Python process ends, since results may still be read from them.
+    The files stay until the Python process ends, since results may still be read from them. free: what df shuffled is large and goes at once.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if free:
+        del df  # it holds on to its shuffles
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Has Spark hand Python at most 2,048 rows and about 8 MB at once, which bounds the memory of both sides whatever the texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def partitions_for(spark: SparkSession, nbytes: float, each: int = 16 << 20) -> int:

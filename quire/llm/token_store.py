@@ -5,8 +5,8 @@ low bits packed, high bits as unary gaps, and 32-bit samples of the places of ev
 takes about 2 + log2(tokens / documents) bits a bound instead of 64.
 
 Blocks are written as binary values by Spark's writers, so that any store that Spark reaches will do. Encoding splits texts before
-blanks that no whitespace follows (there the byte-level tokenizer always starts a new piece), encodes each distinct piece once and puts the
-results together.
+blanks that no whitespace follows (there the byte-level tokenizer always starts a new piece), encodes each distinct piece once a process (as far as
+a bounded cache goes) and puts the results together.
 
 Defined results: null and empty texts have just the end id; repeated ids stay in a row; null ids sort first and come back as null; an empty
 table gives an empty store; texts of any length are encoded whole; only id and text are read, so that other columns can't clash.
@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.staging import partitions_for
+from quire.llm.staging import bound_batches, partitions_for
+from quire.llm.table import SpanCache
 from quire.llm.text import slices, span_hashes, text_bytes
 
 MAGIC = b"QTOK1\0"
@@ -137,6 +138,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.known = SpanCache()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,28 +150,40 @@ class PieceEncoder:
         cut[bounds] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        _, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        pieces, raw, lists = list(zip(starts[first].tolist(), ends[first].tolist(), strict=True)), data.tobytes(), []
+        hashes, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        places = self.known.find(hashes)
+        new = np.flatnonzero(places < 0)
+        pieces, raw, lists = list(zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)), data.tobytes(), []
         for k in range(0, len(pieces), 8192):
             lists += [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in pieces[k : k + 8192]], add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for own in lists for x in own), np.int64, int(sizes.sum()))
-        n = sizes[back]
-        place = np.cumsum(n) - n
-        tokens = flat[np.repeat((np.cumsum(sizes) - sizes)[back] - place, n) + np.arange(int(n.sum()))]
+        places[new] = self.known.add(hashes[new], sizes, np.fromiter((x for own in lists for x in own), np.int64, int(sizes.sum())))
+        n, tokens = self.known.gather(places[back])
         upto = np.append(0, np.cumsum(n))[np.searchsorted(starts, bounds)]
         return np.insert(tokens, upto[1:], end), upto[1:] + np.arange(1, len(bounds))
 
 
+_encoders: dict[int, PieceEncoder] = {}
+
+
+def _encoder(definition: str) -> PieceEncoder:
+    """An encoder made once a process, with the pieces it has met."""
+    if (key := hash(definition)) not in _encoders:
+        _encoders.clear()
+        _encoders[key] = PieceEncoder(definition)
+    return _encoders[key]
+
+
 def write_store(docs: DataFrame, path: str, definition: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> None:
     """Writes documents, in ascending id order, as blocks: rows (shard, block, docs, tokens, data) in Parquet files under path. definition: the tokenizer's JSON."""
     spark = docs.sparkSession
+    bound_batches(spark)
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     model = spark.sparkContext.broadcast(definition)  # a vocabulary file: some megabytes
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, n_block, encoder = TaskContext.get().partitionId(), 0, PieceEncoder(model.value)
+        shard, n_block, encoder = TaskContext.get().partitionId(), 0, _encoder(model.value)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def block() -> pa.RecordBatch:
