@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import partitions_for, stage
+from quire.llm.staging import bound_batches, partitions_for, stage
 from quire.llm.text import mix, word_batches
 
 #: Documents are dealt to folds; one is held out of all learning, one of the counts while weights are learnt.
@@ -194,6 +194,7 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, bigram: np.ndarray, unigram:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, tuned: int = TUNED) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, both log10."""
     spark = docs.sparkSession
+    bound_batches(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds))
     kind = F.when(fold == held_out, _UNSEEN).when(fold == tuned, _TUNING).otherwise(_COUNTED)
     # null ids are told apart by a flag's stand-in, as ids travel in packed arrays
@@ -226,7 +227,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for block in sorted(rows):
             yield pa.RecordBatch.from_pylist(list(_answer(rows.pop(block))), _ANSWER_ARROW)
 
-    answers = stage(chunks.mapInArrow(ask, _ASK).repartition(blocks, "block").mapInArrow(answer, _ANSWER), "counts")
+    answers = stage(chunks.mapInArrow(ask, _ASK).repartition(blocks, "block").mapInArrow(answer, _ANSWER), "counts", free=True)
     n, v, n_rest, v_rest = (x or 0 for x in answers.where("chunk is null").agg(*[F.sum(c) for c in ("n", "v", "n_rest", "v_rest")]).first())
 
     def met(only_tuning: bool) -> DataFrame:
