@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import fields, numbers, sniff, text
-from quire.operators import blocks, chunks, compare, forms, lint, quality, redact, tables
+from quire.operators import blocks, chunks, compare, forms, geometry, layout, lint, markdown, quality, redact, style, tables
 from quire.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,3 +367,70 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation")
     a, b = n.select("n_regionkey", F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), n.select("n_regionkey", F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))
     return a.join(b, "n_regionkey").select("a", "b", F.round(text.normalized_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+#: Outline lines that the style rules judge.
+_OUTLINE = ("○ 빈집 정비가 시급하다", "⇒ 보급해야 한다", "| a | b |", "# 제목", "- 사람이 아니라 마음", "> 시설을 정비하고 인력을 늘려 안전을 높이고자 함.", "○ 왜 그런가?", "2026년 7월 시행")
+
+
+@_query()
+def style_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(fx.numbered(spark, _OUTLINE, "text string").select((-1 - F.col("case_id")).alias("doc_id"), "text"))
+    return style.findings(own, ["doc_id"])
+
+
+@_query("""SELECT n_nationkey AS id, round(len(n_name) - len(replace(n_name, ' ', '')), 6)::DOUBLE AS blanks FROM nation""")
+def blank_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blanks are half the font size wide: their count from the widths of texts with and without them."""
+    n = _table(spark, sf_dir, "nation")
+    width = layout.measured("n_name", 1.0) - layout.measured(F.replace(F.col("n_name"), F.lit(" "), F.lit("")), 1.0)
+    return n.select(F.col("n_nationkey").alias("id"), F.round(width * 2, 6).alias("blanks"))
+
+
+@_query()
+def text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(layout.measured("text", 1000, 95), 3).alias("width"))
+
+
+@_query()
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", layout.wrapped_lines("text", 42_000, 40_000, 1000, 95).alias("lines"))
+
+
+@_query("""SELECT conv_id, turn, '# ' || role AS head, len(regexp_extract_all(text, '\\S+')) AS words FROM conversations""")
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a markdown text of a heading and a code block, parsed again."""
+    t = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("# "), "role", F.lit("\n~~~\n"), F.coalesce("text", F.lit("")), F.lit("\n~~~")).alias("md"))
+    found = markdown.parsed_blocks(t, ["conv_id", "turn"], "md").groupBy("conv_id", "turn").agg(
+        F.max(F.when(F.col("type") == "heading", F.concat(F.lit("# "), "text"))).alias("head"), F.max(F.when(F.col("type") == "code_block", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))))).cast("long").alias("words"),
+    )
+    return found
+
+
+@_query()
+def print_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(markdown.rendered_html("text", "official", "draft")).alias("n"))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as text on a page for each region: two columns of rows."""
+    n = _table(spark, sf_dir, "nation").selectExpr("cast(n_regionkey as long) as doc_id", "1 as page", "cast(n_nationkey as int) as item_id", "n_name as text", "cast(row_number() over (partition by n_regionkey order by n_nationkey) - 1 as int) as k")
+    return n.select("doc_id", "page", "item_id", "text", (50.0 + 250.0 * (F.col("k") / 3).cast("int")).alias("x"), (700.0 - 100.0 * (F.col("k") % 3)).alias("y"), F.lit(100.0).alias("w"), F.lit(10.0).alias("h"))
+
+
+@_query("SELECT n_regionkey::BIGINT AS doc_id, n_nationkey::INT AS item_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS read_no FROM nation")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.reading_order(_placed(spark, sf_dir)).select("doc_id", "item_id", "read_no")
+
+
+@_query("""SELECT doc_id, (k % 3)::INT AS r, (k // 3)::INT AS c, n_name AS text FROM (SELECT n_regionkey::BIGINT AS doc_id, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation)""")
+def aligned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.aligned_cells(_placed(spark, sf_dir)).select("doc_id", "r", "c", "text")
+
+
+@_query("""SELECT n_nationkey::INT AS item_id, (k // 3)::INT AS c FROM (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation)""")
+def items_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _placed(spark, sf_dir)
+    pages = items.select("doc_id", "page").distinct()
+    cells = pages.select("doc_id", "page", F.explode(F.array(*[F.struct(F.lit(0).alias("r"), F.lit(i).alias("c"), F.lit(250.0 * i).alias("x1"), F.lit(0.0).alias("y1"), F.lit(250.0 * (i + 1)).alias("x2"), F.lit(800.0).alias("y2")) for i in range(3)])).alias("s")).select("doc_id", "page", "s.*")
+    return geometry.items_in_cells(items, cells).select("item_id", "c")
