@@ -1,4 +1,4 @@
-"""Office files as blocks and cells: spreadsheets (xlsx), word files (docx), hwpx packages and single-file hwpml. Standard library only.
+"""Office files as blocks and cells: spreadsheets (xlsx, xls), word files (docx), hwpx packages and single-file hwpml. Standard library only.
 
 Files of all kinds meet in one pass over binary rows; each file gives one row with its blocks and cells, or an error code, never an exception.
 Blocks: (block_id, type, text, level, page_number); a table's cells: (block_id, r, c, text, col_span, row_span).
@@ -7,6 +7,7 @@ Blocks: (block_id, type, text, level, page_number); a table's cells: (block_id,
 from __future__ import annotations
 
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources import ole, xls
+
 #: Limits that belong to the formats' handling (fixed values): bytes and entries of a package, rows, columns and sheets.
 MOST_BYTES, MOST_ENTRIES, MOST_ROWS, MOST_COLS, MOST_SHEETS = 256 << 20, 500, 10_000, 200, 100
 #: Built-in number formats that are dates, and those with a time (fixed values).
@@ -356,13 +359,48 @@ def decode_hwpml(content: bytes, out: _Out) -> None:
             _hwpx_paragraph(p, out)
 
 
-DECODERS: dict[str, Callable[[bytes, _Out], None]] = {"xlsx": decode_xlsx, "docx": decode_docx, "hwpx": decode_hwpx, "hwpml": decode_hwpml}
+def _number_text(value: float) -> str:
+    return str(int(value)) if value == int(value) and abs(value) < 1e15 else clean_number(repr(value))
+
+
+def decode_xls(content: bytes, out: _Out) -> None:
+    """Each worksheet of a binary spreadsheet as a heading and a table."""
+    try:
+        package = ole.CompoundFile(content)
+        book = package.stream("Workbook") or package.stream("Book")
+        if book is None:
+            raise DecodeError("PARSE_ERROR")
+        for n, (name, cells, merges, _, styles, formats, date1904) in enumerate(xls.sheets(book), 1):
+            out.block("heading", name, 2, n)
+            texts: dict[tuple[int, int], str] = {}
+            for place, (value, style) in cells.items():
+                k = styles.get(style, 0)
+                kind = "date" if k in DATE_FORMATS else "datetime" if k in TIME_FORMATS else date_kind(formats[k]) if k in formats else None
+                if isinstance(value, bool):
+                    texts[place] = "TRUE" if value else "FALSE"
+                elif isinstance(value, float):
+                    texts[place] = (serial_to_iso(value, date1904, kind) if kind else None) or _number_text(value)
+                else:
+                    texts[place] = str(value)
+            filled = [r for (r, _), t in texts.items() if t.strip()]
+            if not filled:
+                continue
+            top, bottom, width = min(filled), max(filled), max(c for (_, c), t in texts.items() if t.strip()) + 1
+            spans = {(a, c): (d - c + 1, b - a + 1) for a, b, c, d in merges if a <= b and c <= d}
+            hidden = {(r, c) for (a, c0), (w, h) in spans.items() for r in range(a, min(a + h, bottom + 1)) for c in range(c0, min(c0 + w, width))} - set(spans)
+            out.table({(r - top, c): (texts.get((r, c), ""), *spans.get((r, c), (1, 1))) for r in range(top, bottom + 1) for c in range(width) if (r, c) not in hidden}, n)
+    except (ole.OleError, xls.XlsError) as e:
+        raise DecodeError(str(e)) from e
+
+
+DECODERS: dict[str, Callable[[bytes, _Out], None]] = {"xls": decode_xls, "xlsx": decode_xlsx, "docx": decode_docx, "hwpx": decode_hwpx, "hwpml": decode_hwpml}
 
 
 def decode(content: bytes | None, kind: str) -> dict:
     """One file's row."""
     out, error = _Out(), None
-    kind = zip_format(content) if kind == "hwpx" and content else kind
+    if content and kind in ("hwpx", "hwp"):
+        kind = zip_format(content) if kind == "hwpx" else ole.ole_format(content)
     try:
         if not content:
             raise DecodeError("EMPTY_INPUT")
@@ -371,7 +409,7 @@ def decode(content: bytes | None, kind: str) -> dict:
         DECODERS[kind](content, out)
     except DecodeError as e:
         error = str(e)
-    except (ValueError, KeyError, RecursionError, OverflowError):
+    except (ValueError, KeyError, IndexError, struct.error, RecursionError, OverflowError):
         error = "PARSE_ERROR"
     return {"format": kind, "blocks": out.blocks, "cells": out.cells, "title": out.title, "error": error}
 

@@ -1,5 +1,6 @@
 import io
 import random
+import struct
 import zipfile
 
 import pytest
@@ -39,6 +40,55 @@ HWPX = package([
 HWPML = "﻿<?xml version='1.0'?><HWPML><BODY><SECTION><P><TEXT><CHAR>본문</CHAR></TEXT></P></SECTION></BODY></HWPML>".encode()
 
 
+def compound(streams):
+    """A compound file whose streams are 4,096 bytes or more: header, directory, allocation table, then the data."""
+    sectors, entries, table = [], [], []
+    entries.append(("Root Entry", 5, 0xFFFFFFFE, 0))
+    at = 2
+    for name, data in streams:
+        data = data.ljust(4096, b"\0")
+        n = -(-len(data) // 512)
+        entries.append((name, 2, at, len(data)))
+        sectors += [data[i : i + 512].ljust(512, b"\0") for i in range(0, len(data), 512)]
+        table += [*range(at + 1, at + n), 0xFFFFFFFE]
+        at += n
+    directory = b"".join((n.encode("utf-16-le") + b"\0\0").ljust(64, b"\0") + struct.pack("<HBB", len(n) * 2 + 2, k, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<IQ", first, size) for n, k, first, size in entries)
+    fat = struct.pack("<II", 0xFFFFFFFE, 0xFFFFFFFD) + struct.pack(f"<{len(table)}I", *table)
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, 1, 0, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    head += struct.pack("<109I", 1, *[0xFFFFFFFF] * 108)
+    return head.ljust(512, b"\0") + directory.ljust(512, b"\0") + fat.ljust(512, b"\xff") + b"".join(sectors)
+
+
+def biff(*recs):
+    return b"".join(struct.pack("<HH", k, len(b)) + b for k, b in recs)
+
+
+def workbook():
+    strings = struct.pack("<II", 2, 2) + struct.pack("<HB", 2, 1) + "항목".encode("utf-16-le") + struct.pack("<HB", 5, 0) + b"pla"
+    heads = lambda at: [(0x809, struct.pack("<HH", 0x600, 5)), (0xE0, struct.pack("<HH", 0, 0)), (0xE0, struct.pack("<HH", 0, 14)), (0x85, struct.pack("<IBB", at, 0, 0) + bytes([1, 0]) + b"S"),
+                        (0xFC, strings), (0x3C, b"\0in"), (0x0A, b"")]
+    sheet = biff((0x809, struct.pack("<HH", 0x600, 16)), (0xFD, struct.pack("<HHHI", 1, 0, 0, 0)), (0xFD, struct.pack("<HHHI", 1, 1, 0, 1)), (0x27E, struct.pack("<HHHI", 2, 0, 0, (1234 << 2) | 3)),
+                 (0x203, struct.pack("<HHHd", 2, 1, 1, 45306.0)), (0xBD, struct.pack("<HHHIHIH", 3, 0, 0, (5 << 2) | 2, 0, ((-7 & 0x3FFFFFFF) << 2) | 2, 1)), (0x205, struct.pack("<HHHBB", 4, 0, 0, 1, 0)),
+                 (0x205, struct.pack("<HHHBB", 4, 1, 0, 7, 1)), (0xE5, struct.pack("<HHHHH", 1, 1, 1, 0, 1)), (0x0A, b""))
+    return biff(*heads(len(biff(*heads(0))))) + sheet
+
+
+def test_xls():
+    data = compound([("Workbook", workbook())])
+    got = office.decode(data, "hwp")
+    assert got["format"] == "xls" and got["error"] is None, got
+    texts = {(c["r"], c["c"]): c["text"] for c in got["cells"]}
+    assert texts == {(0, 0): "항목", (1, 0): "12.34", (1, 1): "2024-01-15", (2, 0): "5", (2, 1): "-7", (3, 0): "TRUE", (3, 1): "#DIV/0!"}
+    assert got["cells"][0]["col_span"] == 2
+    assert office.decode(compound([("FileHeader", b"x")]), "hwp")["error"] == "UNSUPPORTED_FORMAT"
+    rng = random.Random(3)
+    for _ in range(60):
+        bad = bytearray(data)
+        for _ in range(6):
+            bad[rng.randrange(len(bad))] ^= 1 << rng.randrange(8)
+        assert set(office.decode(bytes(bad[: rng.randrange(8, len(bad))]), "hwp")) == set(got)
+
+
 def test_xlsx():
     got = office.decode(XLSX, "hwpx")
     assert got["format"] == "xlsx" and got["error"] is None
