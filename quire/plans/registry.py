@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import fields, numbers, sniff, text
-from quire.operators import blocks, chunks, compare, forms, geometry, layout, lint, markdown, quality, redact, style, tables
+from quire.operators import blocks, chunks, compare, forms, geometry, layout, lint, markdown, quality, redact, structure, style, tables
 from quire.plans import fixtures as fx
+from quire.sources import hwpx_write, office
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -434,3 +435,32 @@ def items_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = items.select("doc_id", "page").distinct()
     cells = pages.select("doc_id", "page", F.explode(F.array(*[F.struct(F.lit(0).alias("r"), F.lit(i).alias("c"), F.lit(250.0 * i).alias("x1"), F.lit(0.0).alias("y1"), F.lit(250.0 * (i + 1)).alias("x2"), F.lit(800.0).alias("y2")) for i in range(3)])).alias("s")).select("doc_id", "page", "s.*")
     return geometry.items_in_cells(items, cells).select("item_id", "c")
+
+
+@_query("SELECT n_regionkey::BIGINT AS table_id, count(*)::BIGINT AS n FROM nation GROUP BY ALL")
+def captioned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as captions that each come before a table, regions as documents: every caption is taken once."""
+    n = _table(spark, sf_dir, "nation").selectExpr("cast(n_regionkey as long) as doc_id", "cast(n_nationkey as int) as k", "n_name")
+    rows = n.select("doc_id", F.explode(F.array(F.struct((F.col("k") * 2).alias("block_id"), F.lit("paragraph").alias("type"), F.concat(F.lit("Table 1. "), "n_name").alias("text")), F.struct((F.col("k") * 2 + 1).alias("block_id"), F.lit("table").alias("type"), F.lit(None).cast("string").alias("text")))).alias("b"))
+    found = structure.captions(rows.select("doc_id", "b.*", F.lit(1).alias("page_number")))
+    return found.where("type = 'table' and caption like 'Table 1. %'").groupBy(F.col("doc_id").alias("table_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT n_nationkey::INT AS n, ['0','일','이','삼','사','오','육','칠','팔','구','십','십일','십이','십삼','십사','십오','십육','십칠','십팔','십구','이십','이십일','이십이','이십삼','이십사'][n_nationkey + 1] AS words FROM nation")
+def written_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey").cast("int")
+    return _table(spark, sf_dir, "nation").select(n.alias("n"), structure.written_number(n).alias("words"))
+
+
+@_query("SELECT conv_id, turn, 'hwpx' AS format, 0::BIGINT AS issues FROM conversations")
+def generated_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn written as a package, sniffed, and read again."""
+    t = _table(spark, sf_dir, "conversations").select("conv_id", "turn", hwpx_write.generated_hwpx(F.concat(F.lit("# "), "role", F.lit("\n\n"), F.coalesce("text", F.lit("")))).alias("content"))
+    parsed = office.parse_files(t)
+    return parsed.select("conv_id", "turn", "format", F.when(F.col("error").isNull() & (F.size("blocks") > 0), 0).otherwise(1).cast("long").alias("issues"))
+
+
+@_query("SELECT n_regionkey::BIGINT AS table_id FROM nation WHERE false")
+def false_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of nations have headed columns: none is taken for a box of text."""
+    return structure.false_tables(tables.build_grid(_nation_cells(spark, sf_dir), ["table_id"]), ["table_id"])
