@@ -133,6 +133,43 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+_LOWERED = f"translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
+
+OP8_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_WORDS}') AS w FROM documents),
+long_ones AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS h FROM long_ones UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT e.a, reach.r FROM reach JOIN e ON e.b = reach.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(r) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
+def _url_sql() -> str:
+    """The rules, and the rounds of propagation one after the other."""
+    lower = lambda x: f"translate({x}, '{ascii_uppercase}', '{ascii_lowercase}')"
+    case = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value((v, h, p))}'" for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
+    link = url_filter._ABSOLUTE.replace("'", "''")
+    rounds = ["s0 AS MATERIALIZED (SELECT host, t0 AS t, b0 AS b FROM seeds)"]
+    for k in range(url_filter.ROUNDS):
+        rounds.append(f"""s{k + 1} AS MATERIALIZED (SELECT host, {1 - url_filter.DAMPING} * t0 + {url_filter.DAMPING} * coalesce(ft, 0) AS t, {1 - url_filter.DAMPING} * b0 + {url_filter.DAMPING} * coalesce(fb, 0) AS b FROM seeds
+LEFT JOIN (SELECT dst AS host, sum(t * n / n_out) AS ft FROM e JOIN s{k} ON src = host GROUP BY dst) USING (host) LEFT JOIN (SELECT src AS host, sum(b * n / n_in) AS fb FROM e JOIN s{k} ON dst = host GROUP BY src) USING (host))""")
+    return f"""
+WITH h AS (SELECT page_id, html, {lower("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+p AS MATERIALIZED (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS ruled FROM h),
+c AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {lower(f"unnest(regexp_extract_all(html, '{link}', 1))")} AS dst FROM p) WHERE src <> dst GROUP BY ALL),
+e AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY src) AS n_out, sum(n) OVER (PARTITION BY dst) AS n_in FROM c),
+nodes AS (SELECT host, sum(a) AS a, sum(k) AS k FROM (SELECT host, (ruled = 'allow')::INT AS a, (ruled = 'block')::INT AS k FROM p UNION ALL SELECT unnest([src, dst]), 0, 0 FROM e) GROUP BY host),
+seeds AS MATERIALIZED (SELECT host, coalesce(a / nullif(sum(a) OVER (), 0), 0) AS t0, coalesce(k / nullif(sum(k) OVER (), 0), 0) AS b0 FROM nodes),
+{", ".join(rounds)}
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN t + b > 0 AND b >= {url_filter.THRESHOLD} * (t + b) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN s{url_filter.ROUNDS} USING (host)
+"""
+
+
 def queries() -> dict[str, Query]:
     """Name -> (spark, sf_dir) -> DataFrame."""
     return {
@@ -154,4 +191,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": OP3_SQL,
         "op5_substring_dedup": OP5_SQL,
+        "op8_jaccard_join": OP8_SQL,
+        "op10_url_filter": _url_sql(),
     }
