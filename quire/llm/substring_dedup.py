@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import partitions_for, stage
+from quire.llm.staging import bound_batches, partitions_for, stage
 from quire.llm.text import gram_hashes, mix, text_bytes, word_batches, word_spans
 
 #: Words of a window and of its anchor.
@@ -125,6 +125,7 @@ def _factor(docs: np.ndarray, at: np.ndarray, counts: np.ndarray, firsts: np.nda
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_share: float = HOT_SHARE) -> DataFrame:
     """Spans of words (id, start, end; end excluded) covered by windows that a document with a smaller id has as well. Spans of one id may overlap."""
+    bound_batches(docs.sparkSession)
     spark, texts = docs.sparkSession, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once
 
 def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, texts_too: bool = True) -> DataFrame:
     """For each document: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words, one blank between)."""
-    spans = stage(duplicate_spans(docs, id_col, text_col, window, anchor), "spans")
+    spans = stage(duplicate_spans(docs, id_col, text_col, window, anchor), "spans", free=True)
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *[("kept_text", pa.string())] * texts_too])
