@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages, each on all that the one before kept.
 
 Language ID drops texts without any language; exact dedup keeps the document with the largest id of equal texts; the n-gram Jaccard join
-keeps the least id of each group of near duplicates; mixing drops documents whose fitted rate rounds to 0, with targets that keep the
-expected tokens of the high and low domains and none of the toxic one; SentencePiece encodes what is left, and decodes it again.
+keeps the least id of each group of near duplicates; mixing drops documents whose fitted rate rounds to 0, with targets that are the expected
+tokens of the documents most probably of high or low quality, without those most probably toxic; SentencePiece encodes what is left, and decodes it again.
 
 Empty tables pass through; null texts go in the first stage; columns beside those of documents stay until the last stage.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quire.llm import exact_dedup, jaccard_join, language_id, mixing, staging
 from quire.llm.queries import encoded_digest, labelled_domains
 
-#: Parts of the domains' present expected tokens that the mix keeps.
+#: Parts of the domains' documents whose expected tokens the mix keeps.
 KEPT = {"high": 1.0, "low": 1.0, "toxic": 0.0}
 
 
@@ -66,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staging.stage(stage(spark, docs, sf_dir), name)
+        docs = staging.stage(stage(spark, docs, sf_dir), name, free=True)
     return docs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import stage
+from quire.llm.staging import bound_batches, stage
 from quire.llm.text import word_batches
 
 BUCKETS = 1 << 16
@@ -116,6 +116,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
 
 def posteriors(docs: DataFrame, model: DomainClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, p: the domains' probabilities) of all documents."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -178,16 +179,18 @@ def mixed(
 ) -> DataFrame:
     """(id, n_tokens, p_<domain>..., rate, copies) of all documents.
 
-    labelled: (id, domain). targets: the share of all expected tokens that each domain shall have; or keep_totals: the part of its present expected
-    tokens. copies rounds the rate up or down by the id's hash, so that copies have the rate as their mean.
+    labelled: (id, domain). targets: the share of all expected tokens that each domain shall have; or keep_totals: the part of the documents most
+    probably in each domain whose expected tokens, of all domains, make up the targets (so that certain documents aren't cut for what little they seem
+    to hold of another domain). copies rounds the rate up or down by the id's hash, so that copies have the rate as their mean.
     """
     wanted = targets if targets is not None else keep_totals
     domains = sorted(wanted)
     members = stage(posteriors(docs, fit_classifier(docs, labelled, domains, id_col, text_col), id_col, text_col), "posteriors")
-    now = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(len(domains))]).first()
-    now = np.array([x or 0.0 for x in now])
     share = np.array([float(wanted[d]) for d in domains])
-    steps = fit_rates(members, now.sum() * share / share.sum() if targets is not None else now * share)
+    part = F.lit(1.0) if targets is not None else F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.array_position("p", F.array_max("p")).cast("int"))
+    total = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i] * part).alias(f"s{i}") for i in range(len(domains))]).first()
+    total = np.array([x or 0.0 for x in total])
+    steps = fit_rates(members, total.sum() * share / share.sum() if targets is not None else total)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
