@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import bound_batches, partitions_for, stage
+from quire.llm.staging import bound_batches, lean, partitions_for, stage
 from quire.llm.text import mix, word_batches
 
 #: Documents are dealt to folds; one is held out of all learning, one of the counts while weights are learnt.
@@ -199,7 +199,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = F.when(fold == held_out, _UNSEEN).when(fold == tuned, _TUNING).otherwise(_COUNTED)
     # null ids are told apart by a flag's stand-in, as ids travel in packed arrays
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"), kind.alias("kind"))
-    chunks = stage(texts.mapInArrow(_store, _CHUNK), "chunks")
+    chunks = stage(texts.mapInArrow(lean(_store), _CHUNK), "chunks")
     size = chunks.select(F.sum(F.octet_length("tokens"))).first()[0] or 0
     blocks = partitions_for(spark, 2.0 * size)
 
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for block in sorted(rows):
             yield pa.RecordBatch.from_pylist(list(_answer(rows.pop(block))), _ANSWER_ARROW)
 
-    answers = stage(chunks.mapInArrow(ask, _ASK).repartition(blocks, "block").mapInArrow(answer, _ANSWER), "counts", free=True)
+    answers = stage(chunks.mapInArrow(lean(ask), _ASK).repartition(blocks, "block").mapInArrow(lean(answer), _ANSWER), "counts", free=True)
     n, v, n_rest, v_rest = (x or 0 for x in answers.where("chunk is null").agg(*[F.sum(c) for c in ("n", "v", "n_rest", "v_rest")]).first())
 
     def met(only_tuning: bool) -> DataFrame:
@@ -245,7 +245,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cells, back = np.unique(cell, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells, np.bincount(back), np.bincount(back, p2), np.bincount(back, p1))], ["cell", "n", "p2", "p1"])
 
-    found = met(True).mapInArrow(histogram, "cell long, n long, p2 double, p1 double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "p2", "p1")]).collect()
+    found = met(True).mapInArrow(lean(histogram), "cell long, n long, p2 double, p1 double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "p2", "p1")]).collect()
     found.sort()
     table = np.array([tuple(r) for r in found], float).reshape(-1, 4)
     weights = learn_weights(table[:, 0].astype(np.int64), table[:, 1], table[:, 2] / table[:, 1], table[:, 3] / table[:, 1], 1 / (v_rest + 1))
@@ -266,5 +266,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    scored = met(False).mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = met(False).mapInArrow(lean(score), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("id", F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id"))).withColumnRenamed("id", id_col)

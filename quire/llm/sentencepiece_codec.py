@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import bound_batches
+from quire.llm.staging import bound_batches, lean
 from quire.llm.table import SpanCache, Table
 from quire.llm.text import _BYTE_VALUES, _powers, slices, span_hashes, text_bytes
 
@@ -36,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁".encode()
 #: Cells of a batch's matrix, bytes of text encoded at once, pairs that are kept at most (then the table starts anew).
-CELLS, TEXT_BYTES, MOST_PAIRS = 1 << 20, 8 << 20, 1 << 21
+CELLS, TEXT_BYTES, MOST_PAIRS = 1 << 18, 2 << 20, 1 << 19
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -339,4 +339,4 @@ def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                     [id_col, "ids", "n_pieces", "decoded"],
                 )
 
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, ids binary, n_pieces long, decoded string")
+    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {kind.simpleString()}, ids binary, n_pieces long, decoded string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import bound_batches, partitions_for, stage
+from quire.llm.staging import bound_batches, lean, partitions_for, stage
 from quire.llm.text import gram_hashes, mix, text_bytes, word_batches, word_spans
 
 #: Words of a window and of its anchor.
@@ -137,7 +137,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64)), pa.nulls(int(some.sum()), pa.int64())], ["anchor", "runs", "words"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([runs], pa.int64()), pa.array([words], pa.int64())], ["anchor", "runs", "words"])
 
-    counted = stage(texts.mapInArrow(count, "anchor long, runs long, words long").groupBy("anchor").agg(F.sum("runs").alias("runs"), F.sum("words").alias("words")), "anchors")
+    counted = stage(texts.mapInArrow(lean(count), "anchor long, runs long, words long").groupBy("anchor").agg(F.sum("runs").alias("runs"), F.sum("words").alias("words")), "anchors")
     total = counted.where("anchor is null").first()
     n_runs, n_words = (total["runs"], total["words"]) if total else (0, 0)
     least = max(1000, int(n_runs * hot_share))
@@ -209,7 +209,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             spans = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(spans[c].astype(k)) for c, k in (("doc", np.int64), ("start", np.int64), ("end", np.int64))], ["id", "start", "end"])
 
-    return texts.mapInArrow(send, _BLOCK).repartition(blocks, "block").mapInArrow(factor, "id long, start long, end long")
+    return texts.mapInArrow(lean(send), _BLOCK).repartition(blocks, "block").mapInArrow(lean(factor), "id long, start long, end long")
 
 
 def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 16) -> Iterator[bytes]:
@@ -255,4 +255,4 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {c: [] for c in schema.names}, schema)
 
     joined = texts.join(lists, "id", "left").select("id", "text", "spans")
-    return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_too).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lean(cut), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_too).withColumnRenamed("id", id_col)

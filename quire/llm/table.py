@@ -53,7 +53,7 @@ class Table:
 class SpanCache:
     """Encoded spans of bytes by their hashes: what was encoded once in a process isn't again, until `most` spans are held and all are let go."""
 
-    def __init__(self, most: int = 1_500_000) -> None:
+    def __init__(self, most: int = 600_000) -> None:
         self.most = most
         self._clear()
 

@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes and words handled at once; bounds the memory of temporary arrays.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _RATIO = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_RATIO), -1, 1 << 64))

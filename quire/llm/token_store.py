@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.staging import bound_batches, partitions_for
+from quire.llm.staging import bound_batches, lean, partitions_for
 from quire.llm.table import SpanCache
 from quire.llm.text import slices, span_hashes, text_bytes
 
@@ -208,7 +208,7 @@ def write_store(docs: DataFrame, path: str, definition: str, id_col: str = "doc_
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange(partitions_for(spark, size, 24 << 20), "id").sortWithinPartitions("id")
-    ranged.mapInArrow(encode, "shard long, block long, docs long, tokens long, data binary").write.option("compression", "none").parquet(path)
+    ranged.mapInArrow(lean(encode), "shard long, block long, docs long, tokens long, data binary").write.option("compression", "none").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -232,6 +232,6 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
                     ["id", "shard", "block", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = blocks.select("shard", "block", "data").mapInArrow(read, "id long, shard long, block long, at long, n_tokens long, ids_crc32 long")
+    docs = blocks.select("shard", "block", "data").mapInArrow(lean(read), "id long, shard long, block long, at long, n_tokens long, ids_crc32 long")
     found = docs.join(bases, ["shard", "block"])
     return found.select(F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias(id_col), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
