@@ -3,7 +3,8 @@
 Documents are sets of distinct word shingles; equal sets are one class, and everything after works on classes. All shingles have one global
 order: those that many documents share (counted in every chunk of texts; a list of bounded size) come last, by their counts, all others by
 their hashes. Two sets that reach the similarity share a shingle among the first of each in that order (its prefix), so classes that share a
-prefix shingle are candidates. The order is cut into fragments, and each class's set with it. A fragment counts the partial overlaps of the
+prefix shingle are candidates. With a prefix that is k shingles longer they share k + 1; a class of whose longer prefix fewer are shared with
+any other class can't be linked and is let go. The order is cut into fragments, and each class's set with it. A fragment counts the partial overlaps of the
 candidate pairs separately, the counts are summed by pair, and the sum decides exactly.
 
 Groups of near copies would give all their pairs. Links are wanted only up to connection, so candidates come in rounds: first each prefix
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 
 from quire.llm import bloom
 from quire.llm.components import components
-from quire.llm.staging import partitions_for, stage
+from quire.llm.staging import bound_batches, lean, partitions_for, stage
 from quire.llm.text import gram_hashes, mix, word_batches
 
 #: Words of a shingle; links need 100 * overlap >= PERCENT * union.
 SHINGLE, PERCENT = 5, 80
 #: Words of a chunk, its count from which a shingle is reported as common, and how many of these come last in the order.
-CHUNK_WORDS, REPORTED, COMMON = 1 << 20, 4, 1 << 17
+CHUNK_WORDS, REPORTED, COMMON = 1 << 19, 2, 1 << 18
+#: Percent of its shingles by which a set's prefix is longer than it must be; similar sets then share as many in their prefixes, and one.
+LONGER = 5
 #: Fragments of the order: of the shingles in order of hash, and of the common ones in order of count.
 PLAIN_FRAGMENTS, COMMON_FRAGMENTS = 12, 4
 #: Rounds in which lists are paired with one member before all pairs that are left are counted.
@@ -87,7 +90,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array,
 class _Distinct:
     """Passes each set id once a task, as far as a bounded memory goes."""
 
-    def __init__(self, most: int = 1 << 18) -> None:
+    def __init__(self, most: int = 1 << 16) -> None:
         self.seen, self.most = set(), most
 
     def __call__(self, sids: np.ndarray) -> np.ndarray:
@@ -125,6 +128,11 @@ def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def _shared_least(n):
+    """Shared shingles that a set's longer prefix must have."""
+    return n * LONGER // 100 + 1
+
+
 def _read(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, sid) of all documents, and (token, count) of common shingles."""
     kind = texts.schema["id"].dataType.simpleString()
@@ -150,13 +158,13 @@ def _read(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         if held:
             yield report()
 
-    found = stage(texts.mapInArrow(run, f"id {kind}, n_shingles long, sid long, token long, count long"), "members")
+    found = stage(texts.mapInArrow(lean(run), f"id {kind}, n_shingles long, sid long, token long, count long"), "members")
     return found.where("sid is not null").select("id", "n_shingles", "sid"), found.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
 
 
 def _lists(texts: DataFrame, order: Broadcast, n: int, percent: int, n_shingles: int) -> DataFrame:
     """(token, sid, n, at): classes under the prefix shingles that more than one class has; at: its place in the class's order."""
-    blocks = partitions_for(texts.sparkSession, 2.8 * n_shingles)
+    blocks = partitions_for(texts.sparkSession, 3.5 * n_shingles)
     names, schema = ["block", "plain", "common"], "block int, plain binary, common binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +192,7 @@ def _lists(texts: DataFrame, order: Broadcast, n: int, percent: int, n_shingles:
             rank = order.value.rank(values)
             by_rank = np.lexsort((rank, owner))  # stable: plain ones stay in order of hash
             at = np.arange(len(values)) - np.repeat(bounds[:-1], sizes)
-            use = at < np.repeat(sizes - _least_overlap(sizes, percent) + 1, sizes)
+            use = at < np.repeat(sizes - _least_overlap(sizes, percent) + _shared_least(sizes), sizes)
             place = by_rank[use]
             rows = np.zeros(len(place), _PREFIX)
             rows["token"], rows["sid"], rows["n"], rows["at"] = values[place], sids[owner[use]], sizes[owner[use]], at[use]
@@ -204,15 +212,27 @@ def _lists(texts: DataFrame, order: Broadcast, n: int, percent: int, n_shingles:
                 if row["common"]:
                     yield out(np.frombuffer(row["common"], _PREFIX))
         for block in sorted(plain):
-            rows = np.unique(np.frombuffer(b"".join(plain.pop(block)), _PREFIX))
-            same = rows["token"][1:] == rows["token"][:-1]
-            yield out(rows[np.append(False, same) | np.append(same, False)] if len(rows) else rows)
+            rows = np.frombuffer(b"".join(plain.pop(block)), _PREFIX)
+            by = np.lexsort((rows["sid"], rows["token"]))
+            token, sid = rows["token"][by], rows["sid"][by]
+            new = np.append(True, token[1:] != token[:-1]) if len(by) else np.zeros(0, bool)
+            other = np.append(False, (token[1:] == token[:-1]) & (sid[1:] != sid[:-1])) if len(by) else new
+            lists = np.cumsum(new) - 1
+            shared = np.bincount(lists, other, int(new.sum())) > 0  # lists with a second class
+            first = new | other  # one row of each class
+            yield out(rows[by[first & shared[lists]]])
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows[c].astype(np.int64)) for c in _PREFIX.names], list(_PREFIX.names))
 
-    rows = texts.mapInArrow(send, schema).repartition(blocks, "block").mapInArrow(meet, "token long, sid long, n long, at long")
-    return stage(rows.distinct(), "lists")
+    rows = texts.mapInArrow(lean(send), schema).repartition(blocks, "block").mapInArrow(lean(meet), "token long, sid long, n long, at long")
+    lists = stage(rows.distinct(), "prefixes", free=True)
+    for _ in range(2):  # a list may lose its second class, and a class with it
+        shared = lists.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
+        lists = stage(lists.join(stage(shared, "shared"), "token", "left_semi"), "lists", free=True)
+        enough = lists.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.floor(F.floor(F.col("n") * percent / 100) * LONGER / 100) + 1).select("sid")  # as many as the smallest possible partner's prefix asks for
+        lists = stage(lists.join(stage(enough, "enough"), "sid", "left_semi"), "lists", free=True)
+    return stage(lists.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)), "lists")
 
 
 def _segments(texts: DataFrame, members: DataFrame, lists: DataFrame, order: Broadcast, n: int) -> DataFrame:
@@ -236,9 +256,9 @@ def _segments(texts: DataFrame, members: DataFrame, lists: DataFrame, order: Bro
             parts = [values[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts])), pa.array(fragment[starts].astype(np.int32)), pa.array(parts, pa.binary())], ["sid", "fragment", "shingles"])
 
-    read = texts.mapInArrow(lambda batches: _all_sets(batches, n), f"id {kind}, sid long, shingles binary")
+    read = texts.mapInArrow(lean(lambda batches: _all_sets(batches, n)), f"id {kind}, sid long, shingles binary")
     kept = read.where(bloom.maybe_repeated(wanted, key)).select("sid", "shingles")
-    return stage(kept.mapInArrow(cut, "sid long, fragment int, shingles binary"), "segments")
+    return stage(kept.mapInArrow(lean(cut), "sid long, fragment int, shingles binary"), "segments", free=True)
 
 
 def _all_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -248,7 +268,7 @@ def _all_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray, sids: np.ndarray, parts: list[bytes]) -> np.ndarray:
-    """Of each pair, the shingles that both parts hold; at most some millions at once."""
+    """Of each pair, the shingles that both parts hold; half a million elements at once."""
     first: dict[int, int] = {}
     for k, s in enumerate(sids.tolist()):
         first.setdefault(s, k)
@@ -268,7 +288,7 @@ def _overlaps(a: np.ndarray, b: np.ndarray, sids: np.ndarray, parts: list[bytes]
     i = 0
     while i < len(rows):
         total = np.cumsum(sizes[ia[rows[i : i + (1 << 16)]]])
-        j = i + max(1, int(np.searchsorted(total, 1 << 21)))
+        j = i + max(1, int(np.searchsorted(total, 1 << 19)))
         own = rows[i:j]
         n = sizes[ia[own]]
         pair = np.repeat(np.arange(len(own)), n)
@@ -308,7 +328,7 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int, size: float) ->
                 some = np.flatnonzero(overlap)
                 yield from pa.table([asks[c].take(pa.array(some)) for c in ("a", "b", "na", "nb")] + [pa.array(overlap[some])], names=["a", "b", "na", "nb", "overlap"]).combine_chunks().to_batches()
 
-    partial = rows.repartition(2 * blocks * fragments, "block", "fragment").mapInArrow(count, schema)
+    partial = rows.repartition(2 * blocks * fragments, "block", "fragment").mapInArrow(lean(count), schema)
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return total.where(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
@@ -364,7 +384,7 @@ def class_links(texts: DataFrame, members: DataFrame, common: DataFrame, n: int,
             still = stage(left.join(open_lists.select("token"), "token", "left_semi"), "still")
             met = _named(still, "y_").join(_named(still, "x_"), "token").where("x_sid < y_sid")
         pairs = _pairs(met.where("x_comp <> y_comp").where(_possible(percent, "x_", "y_")))
-        new = stage(_linked(pairs, segments, percent, size), "links")
+        new = stage(_linked(pairs, segments, percent, size), "links", free=True)
         if not new.isEmpty():
             links.append(new)
         if last:
@@ -374,6 +394,7 @@ def class_links(texts: DataFrame, members: DataFrame, common: DataFrame, n: int,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links reach)."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members, common = _read(texts, shingle)
     alone = members.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
