@@ -69,6 +69,12 @@ def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the folder of a staged DataFrame that nothing will read again."""
+    folders = {x.rsplit("/", 1)[0] for x in df.inputFiles()}
+    _delete(df.sparkSession, sorted(folders))
+
+
 def lean(run: Callable) -> Callable:
     """run, for mapInArrow, after which the Python process gives back the memory it holds in reserve: workers live on from task to task."""
 
