@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup by window hashes against reference blocks, in place of a relative Lempel-Ziv parse.
 
-Every document is factored against reference blocks, and factors of at least `window` words that come from a smaller document are
-duplicate spans. A block can't hold the whole corpus, so blocks are cut by content: the windows of a document are dealt by their
-anchor, the `anchor`-word gram of least hash in the window (equal windows have equal anchors), and the block of an anchor indexes each
-distinct window around it with the smallest document that has it. Against its blocks, a document is parsed greedily: as long as the
-next window is found with a smaller document the factor grows, else it ends there. A factor that runs across an anchor's reach ends
-at the boundary and goes on in the next anchor's block, so the pieces are joined at their boundaries to whole factors.
+Spans of at least `window` words that a smaller document has as well are duplicates. A block can't hold the whole corpus, so blocks are cut
+by content: the windows of a document are dealt by their anchor, the `anchor`-word gram of least hash in the window (equal windows have
+equal anchors). A block sorts the hashes of its windows, marks those that a smaller document has, and joins marked windows that touch or
+overlap to spans; so do spans of several blocks. No factors are parsed: there is no longest match against one source, spans name no source,
+and one span may be made of windows of many. The words covered are those of the definition, which asks only for windows.
 
 What is shuffled: one row of packed arrays for each chunk of texts and block, about 7 bytes a word. Runs of windows that a chunk holds
 more than once are sent once, with their smallest document; the others are found covered on the spot, so that many copies or a common
@@ -114,7 +113,7 @@ def _covered(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def _factor(docs: np.ndarray, at: np.ndarray, counts: np.ndarray, firsts: np.ndarray, anchors: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
-    """The covered spans of runs that share a block."""
+    """The covered spans of runs that share a block, by their windows' hashes."""
     owner = np.repeat(np.arange(len(counts)), counts)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     key = mix(anchors[owner] ^ mix(windows + (firsts[owner] - step).astype(np.uint64) * np.uint64(1 << 56)))
