@@ -4,19 +4,21 @@ A classifier learnt from the labelled table gives each document its probabilitie
 of its words' weights, words hashed to buckets). With n_d tokens, probabilities p_d and rates r_d >= 0 the expected tokens of the domains are
 sum(r_d n_d p_d). Starting from rates of 1, projected-gradient steps on the squared distance to the targets are taken over all documents:
 each round sums the domains' totals in Spark, and the step r_d <- max(0, r_d - p_d . g) uses one vector g for all, the residual solved
-against H = sum(n_d p_d p_d^T), which makes the step length 1 safe. A document's rate follows from the rounds' vectors alone, so rounds
-store nothing and the driver holds one short vector a round.
+against H = sum(n_d p_d p_d^T). Over all documents, H makes the step length 1 safe. Over those with a positive rate, solved again over those
+positive after it, the step is longer where many rates are 0; it is tried first. A document's rate follows from the rounds' vectors alone, so rounds store nothing and the driver
+holds one short vector a round.
 
 The classifier takes at most `per_domain` labelled documents of each domain (a bounded sample, dealt by a hash of the id); posteriors,
 totals and rates cover all documents.
 
 Defined results: null and empty texts have no tokens, and the bias alone decides their posteriors; labels with null parts are left out; ids
-labelled twice count twice; with no labels all documents share each domain evenly; targets beyond reach are approached until a round no longer
-helps; an empty table gives an empty one; only id, text and the labels' columns are read, so that others can't clash.
+labelled twice count twice; with no labels all documents share each domain evenly; targets beyond reach are approached until even
+the safe step no longer helps, and what is left is logged as a warning; an empty table gives an empty one; only id, text and the labels' columns are read, so that others can't clash.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -30,7 +32,11 @@ from quire.llm.text import word_batches
 
 BUCKETS = 1 << 16
 PER_DOMAIN = 3000
-MOST_ROUNDS, CLOSE = 40, 1e-6
+#: Rounds at most, the part of the targets that may be left, the part of the squared distance that a quick step must take away not to be
+#: solved again, the one below which a round no longer helps, and times that a step is solved again.
+MOST_ROUNDS, CLOSE, QUICK, STALLED, RESOLVED = 100, 1e-6, 0.5, 1e-3, 4
+
+_log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -140,37 +146,56 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, most_rounds: int = MOST_ROUNDS) -> list[np.ndarray]:
-    """The rounds' vectors for members (n_tokens, p): one pass over the members each."""
+    """The rounds' vectors for members (n_tokens, p): a few passes over the members each."""
     k = len(targets)
-    schema = "sums array<double>"
 
-    def totals(steps: list[np.ndarray], second: bool) -> np.ndarray:
+    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' totals less the targets, and H over the documents with a positive rate."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k * k if second else k)
+            out = np.zeros(k + k * k)
             for batch in batches:
                 n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
                 p = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
-                out += (p.T @ (p * n[:, None])).reshape(-1) if second else p.T @ (n * rates(p, steps))
+                r = rates(p, steps)
+                out[:k] += p.T @ (n * r)
+                out[k:] += (p.T @ (p * (n * (r > 0))[:, None])).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-        width = k * k if second else k
-        row = members.select("n_tokens", "p").mapInArrow(run, schema).agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).first()
-        return np.array([x or 0.0 for x in row])
+        row = members.select("n_tokens", "p").mapInArrow(run, "sums array<double>").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(k + k * k)]).first()
+        sums = np.array([x or 0.0 for x in row])
+        return sums[:k] - targets, sums[k:].reshape(k, k)
+
+    def inverse(h: np.ndarray) -> np.ndarray:
+        return np.linalg.pinv(h + 1e-12 * max(1.0, float(np.trace(h))) * np.eye(k))
+
+    def distance(x: np.ndarray) -> float:
+        return float(x @ safe @ x)
 
-    h = totals([], True).reshape(k, k)
-    scale = max(1.0, float(np.trace(h)))
-    solve = np.linalg.pinv(h + 1e-12 * scale * np.eye(k))
     steps: list[np.ndarray] = []
-    before = np.inf
-    for _ in range(most_rounds):
-        residual = totals(steps, False) - targets
-        size = float(np.abs(residual).sum())
-        if size <= CLOSE * max(1.0, float(targets.sum())):
-            break
-        if size > 0.999 * before:
+    residual, active = totals(steps)
+    safe, quick = inverse(active), True
+    close, left = max(1.0, float(targets.sum())), float(np.abs(residual).sum())
+    while left > CLOSE * close and len(steps) < most_rounds:
+        before = distance(residual)
+        step = inverse(active) @ residual
+        tried = [(distance((found := totals([*steps, step]))[0]), step, found)]
+        for _ in range(RESOLVED if quick or len(steps) % 8 == 0 else 0):  # Newton's: solved again over the documents that are positive after the step
+            if tried[-1][0] <= (1 - QUICK) * before:
+                break
+            step = step + inverse(found[1]) @ found[0]
+            tried.append((distance((found := totals([*steps, step]))[0]), step, found))
+        if min(x[0] for x in tried) > (1 - STALLED) * before:
+            step = safe @ residual
+            tried.append((distance((found := totals([*steps, step]))[0]), step, found))
+        after, step, found = min(tried, key=lambda x: x[0])
+        if after > (1 - STALLED) * before:
             break
-        before = size
-        steps.append(solve @ residual)
+        quick = after <= (1 - QUICK) * before
+        steps.append(step)
+        residual, active = found
+        left = float(np.abs(residual).sum())
+    _log.log(logging.WARNING if left > CLOSE * close else logging.INFO, "rates fitted in %d rounds; %.3g of the targets is left", len(steps), left / close)
     return steps
 
 

@@ -170,6 +170,23 @@ def test_mixing(spark, docs, empty):
     assert [r.d for r in nothing.collect()] == [None, None, "low", "high", "toxic"]
 
 
+def test_mixing_reaches_rare_domains(spark, caplog):
+    """Targets within reach are met where a rare domain must grow and posteriors aren't sharp; what can't be met is told."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (3000, 3))
+    x[np.arange(3000), rng.choice(3, 3000, p=[0.98, 0.015, 0.005])] += 5
+    x = np.exp(x + np.log([0.98, 0.015, 0.005]))
+    p, n = x / x.sum(1, keepdims=True), rng.integers(20, 400, 3000)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>").repartition(2).cache()
+    targets = n.sum() * np.array([0.2, 0.2, 0.6])
+    with caplog.at_level("INFO", "quire.llm.mixing"):
+        r = mixing.rates(p, mixing.fit_rates(members, targets))
+        assert np.abs(p.T @ (n * r) - targets).sum() <= 1e-5 * targets.sum() and (r >= 0).all()
+        assert caplog.records[-1].levelname == "INFO"
+        mixing.fit_rates(members, n.sum() * np.array([0.0, 0.0, 1.0]), 3)
+        assert caplog.records[-1].levelname == "WARNING"
+
+
 @pytest.fixture(scope="module")
 def piece_model():
     public_tokenizers = pytest.importorskip("public_tokenizers")
