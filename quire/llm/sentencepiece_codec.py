@@ -22,6 +22,7 @@ import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.staging import bound_batches, lean
 from quire.llm.table import SpanCache, Table
-from quire.llm.text import _BYTE_VALUES, _powers, slices, span_hashes, text_bytes
+from quire.llm.text import slices, span_hashes, text_bytes
 
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -40,6 +41,22 @@ CELLS, TEXT_BYTES, MOST_PAIRS = 1 << 18, 2 << 20, 1 << 19
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 
+#: Hashes of substrings are sums of the bytes' random values, weighed by powers of a ratio: good for pieces, which are short.
+_BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+_RATIO = 0x9E3779B97F4A7C15
+
+
+@cache
+def _power_block(log2: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(1 << log2, _RATIO, np.uint64), np.full(1 << log2, pow(_RATIO, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, or some more, of the ratio and of its inverse, modulo 2**64."""
+    return _power_block(max(6, (n - 1).bit_length()))
+
 
 def _fields(data: memoryview) -> Iterator[tuple[int, object]]:
     """(number, value) of a protocol buffer message's fields."""

@@ -6,8 +6,8 @@ characters give the same words. Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +22,9 @@ LOWER[65:91] += 32
 #: Bytes and words handled at once; bounds the memory of temporary arrays.
 SLICE_BYTES = 1 << 19
 
-_RATIO = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_RATIO), -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
-
-
-@cache
-def _power_block(log2: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log2
-    up, down = np.full(n, _RATIO, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the ratio and of its inverse, modulo 2**64."""
-    return _power_block(max(16, (n - 1).bit_length()))
+#: Bytes of a span that the table of random values covers, by place and byte; longer spans are hashed one by one.
+TABLED = 32
+_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, TABLED * 256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,28 +69,48 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
-    """64-bit hashes of byte spans that are in order and don't overlap."""
+    """64-bit hashes of byte spans that are in order and don't overlap.
+
+    Each byte of a span adds a random value of its own place and kind, so that no pattern of bytes makes spans collide.
+    """
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(starts, base + block)))
-        last = int(ends[j - 1])
-        up, down = _powers(last - base)
-        sums = np.zeros(last - base + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data[base:last]] * up[: last - base], out=sums[1:])
-        out[i:j] = mix((sums[ends[i:j] - base] - sums[starts[i:j] - base]) * down[starts[i:j] - base])
+        first, last = (starts[i:j] - base).astype(np.int32), int(ends[j - 1]) - base
+        place = np.arange(last, dtype=np.int32) - np.repeat(first, np.diff(first, append=np.int32(last)))
+        np.minimum(place, TABLED - 1, out=place)
+        place <<= 8
+        place |= data[base : base + last]
+        sums = np.zeros(last + 1, np.uint64)
+        np.cumsum(_TABLE[place], out=sums[1:])
+        size = ends[i:j] - starts[i:j]
+        out[i:j] = mix(sums[ends[i:j] - base] - sums[first] + size.astype(np.uint64))
+        for k in (np.flatnonzero(size > TABLED) + i).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
         i = j
     return out
 
 
+def _followed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of a followed by b."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C17) + b)
+
+
 def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of each n consecutive 64-bit values; gram i starts at value i."""
+    """Hashes of each n consecutive 64-bit values; gram i starts at value i. Grams of 1, 2, 4... values are put together to n."""
     if len(values) < n:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(values) - n + 1])
+    powers, size = [values], 1
+    while 2 * size <= n:
+        powers.append(_followed(powers[-1][:-size], powers[-1][size:]))
+        size *= 2
+    out, done = powers[-1], size
+    while done < n:
+        size = 1 << ((n - done).bit_length() - 1)
+        more = powers[size.bit_length() - 1][done:]
+        out, done = _followed(out[: len(more)], more), done + size
+    return out[: len(values) - n + 1]
 
 
 def hashed_words(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
