@@ -89,13 +89,17 @@ def repeated_filter(hashes: DataFrame, n: int) -> Broadcast:
     return spark.sparkContext.broadcast(filled)
 
 
+def tested(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter holds."""
+    at, bits = _positions(keys.astype(np.int64).view(np.uint64), len(bitmap))
+    return ((bitmap[at[:, None], bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
 def maybe_repeated(filled: Broadcast, key: Column) -> Column:
     """True for every key that occurs twice, and for a few that don't."""
 
     @F.pandas_udf("boolean")
     def test(keys: pd.Series) -> pd.Series:
-        bitmap = filled.value
-        at, bits = _positions(keys.to_numpy(np.int64).view(np.uint64), len(bitmap))
-        return pd.Series(((bitmap[at[:, None], bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).all(axis=1))
+        return pd.Series(tested(filled.value, keys.to_numpy(np.int64)))
 
     return test(key)

@@ -3,17 +3,19 @@
 Documents are sets of distinct word shingles; equal sets are one class, and everything after works on classes. All shingles have one global
 order: those that many documents share (counted in every chunk of texts; a list of bounded size) come last, by their counts, all others by
 their hashes. Two sets that reach the similarity share a shingle among the first of each in that order (its prefix), so classes that share a
-prefix shingle are candidates. With a prefix that is k shingles longer they share k + 1; a class of whose longer prefix fewer are shared with
-any other class can't be linked and is let go. The order is cut into fragments, and each class's set with it. A fragment counts the partial overlaps of the
-candidate pairs separately, the counts are summed by pair, and the sum decides exactly.
+prefix shingle are candidates, as far as their lengths and the shingle's places leave enough to share. The order is cut into fragments, and
+each class's set with it. A fragment counts the partial overlaps of the candidate pairs separately, the counts are summed by pair, and the sum
+decides exactly.
 
-Groups of near copies would give all their pairs. Links are wanted only up to connection, so candidates come in rounds: first each prefix
-shingle's list pairs its members with one of them, in later rounds with another one and only across components; lists whose members
-are all connected are done. In the last round, or as soon as few pairs are left, all pairs across components are counted, so that no link between components is lost.
+Groups of near copies would give all their pairs. Links are wanted only up to connection, so candidates come in rounds. First each prefix
+shingle's list pairs its members with the one that has the fewest rarer shingles before it: what copies share comes last in the order, so
+that one is nearest to the text that they were made from. After that only pairs across components are looked at, within the lists and in
+order of length, so that few are met which lengths and places rule out; where these are still many, lists are paired with another member
+first. All pairs that remain are counted, so no link between components is lost.
 
-What is shuffled: packed prefix shingles (about a fifth of all), of which those that only one class has go no further; the sets of classes
-on a list with others (found by a Bloom filter on a second reading), once for each block of pairs they are in; partial counts. Shingles
-with long lists are rows of their own and never meet in one task; a representative with many pairs has them dealt over many blocks.
+What is shuffled: packed prefix shingles (a fifth of all), of which those that only one class has go no further; for each pair the set of one
+class, and for each 256 pairs of a representative its own; partial counts. Lists of common shingles are rows of their own and never meet in
+one task; long lists meet in blocks.
 
 Defined results: null and empty texts and texts without words have empty sets and are linked with nothing; texts with fewer words than a
 shingle have their whole sequence as one shingle; repeated rows are linked; rows with a null id are members like others, and a group's id is
@@ -34,21 +36,19 @@ from pyspark.sql import functions as F
 
 from quire.llm import bloom
 from quire.llm.components import components
-from quire.llm.staging import bound_batches, lean, partitions_for, stage
+from quire.llm.staging import bound_batches, drop, lean, partitions_for, stage
 from quire.llm.text import gram_hashes, mix, word_batches
 
 #: Words of a shingle; links need 100 * overlap >= PERCENT * union.
 SHINGLE, PERCENT = 5, 80
 #: Words of a chunk, its count from which a shingle is reported as common, and how many of these come last in the order.
 CHUNK_WORDS, REPORTED, COMMON = 1 << 19, 2, 1 << 18
-#: Percent of its shingles by which a set's prefix is longer than it must be; similar sets then share as many in their prefixes, and one.
-LONGER = 5
 #: Fragments of the order: of the shingles in order of hash, and of the common ones in order of count.
 PLAIN_FRAGMENTS, COMMON_FRAGMENTS = 12, 4
-#: Rounds in which lists are paired with one member before all pairs that are left are counted.
-STAR_ROUNDS = 3
-#: Where lists have so few members on average (weighted by size), their pairs are few enough to be counted at once.
-FEW_PAIRS = 8
+#: Rounds in which lists are paired with one member before all pairs that are left are counted; so many a row are few enough to be counted at once.
+STAR_ROUNDS, FEW_PAIRS = 5, 2
+#: Pairs of a representative that are counted in one place, members of a list that meet in one block, and pairs looked at in one go.
+TOGETHER, LIST_BLOCK, AT_ONCE = 256, 8192, 1 << 20
 
 _PREFIX = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
@@ -128,9 +128,41 @@ def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _shared_least(n):
-    """Shared shingles that a set's longer prefix must have."""
-    return n * LONGER // 100 + 1
+def _last_partner(n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """The largest set that a class with n shingles can link with, if the first shingle they share is its at-th: from there on the least overlap must be left."""
+    return np.minimum((100 + percent) * (n - at) // percent - n, 100 * n // percent)
+
+
+def _ranges(group: np.ndarray, n: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order of group and n: the first and last row (excluded) after each that its last partner's length allows."""
+    place = group * (1 << 32) + n
+    end = np.searchsorted(place, group * (1 << 32) + np.minimum(last, (1 << 32) - 1), "right")
+    start = np.arange(len(n)) + 1
+    return start, np.maximum(start, end)
+
+
+def _in_ranges(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (row, each row of its range), some at a time."""
+    upto, i = np.cumsum(end - start), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AT_ONCE, "right")))
+        size = end[i:j] - start[i:j]
+        row = np.repeat(np.arange(i, j), size)
+        yield row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + start[row]
+        i = j
+
+
+def _hopeful(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Of the rows of lists: those of which a partner in the same list has a fitting length."""
+    _, group = np.unique(rows["token"], return_inverse=True)
+    n, last = rows["n"].astype(np.int64), _last_partner(rows["n"].astype(np.int64), rows["at"].astype(np.int64), percent)
+    by = np.lexsort((n, group))
+    start, end = _ranges(group[by], n[by], last[by])
+    found = np.zeros(len(rows), bool)
+    for x, y in _in_ranges(start, end):
+        fits = last[by[y]] >= n[by[x]]
+        found[by[x[fits]]] = found[by[y[fits]]] = True
+    return found
 
 
 def _read(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +196,7 @@ def _read(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 def _lists(texts: DataFrame, order: Broadcast, n: int, percent: int, n_shingles: int) -> DataFrame:
     """(token, sid, n, at): classes under the prefix shingles that more than one class has; at: its place in the class's order."""
-    blocks = partitions_for(texts.sparkSession, 3.5 * n_shingles)
+    blocks = partitions_for(texts.sparkSession, 5.0 * n_shingles)
     names, schema = ["block", "plain", "common"], "block int, plain binary, common binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +209,9 @@ def _lists(texts: DataFrame, order: Broadcast, n: int, percent: int, n_shingles:
             block = (plain["token"] % np.uint64(blocks)).astype(np.int64)
             by_block = np.argsort(block, kind="stable")
             plain, cuts = plain[by_block], np.searchsorted(block[by_block], np.arange(blocks + 1))
-            rest, parts = rows[common], np.arange(blocks + 1) * common.sum() // blocks  # known to be shared: these need not meet
-            return pa.RecordBatch.from_arrays(
-                [pa.array(range(blocks), pa.int32()), pa.array([plain[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array([rest[i:j].tobytes() for i, j in zip(parts[:-1], parts[1:], strict=True)], pa.binary())],
-                names,
-            )
+            rest, parts = rows[common], np.arange(blocks + 1) * int(common.sum()) // blocks  # known to be shared: these need not meet
+            some = np.flatnonzero(np.diff(cuts) + np.diff(parts))  # so that there are never more rows than entries, however many blocks there are
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array([x[at[k] : at[k + 1]].tobytes() for k in some.tolist()], pa.binary()) for x, at in ((plain, cuts), (rest, parts))]], names)
 
         for _, sids, values, bounds in _sets(batches, n):
             keep = fresh(sids)
@@ -192,7 +222,7 @@ def _lists(texts: DataFrame, order: Broadcast, n: int, percent: int, n_shingles:
             rank = order.value.rank(values)
             by_rank = np.lexsort((rank, owner))  # stable: plain ones stay in order of hash
             at = np.arange(len(values)) - np.repeat(bounds[:-1], sizes)
-            use = at < np.repeat(sizes - _least_overlap(sizes, percent) + _shared_least(sizes), sizes)
+            use = at <= np.repeat(sizes - _least_overlap(sizes, percent), sizes)
             place = by_rank[use]
             rows = np.zeros(len(place), _PREFIX)
             rows["token"], rows["sid"], rows["n"], rows["at"] = values[place], sids[owner[use]], sizes[owner[use]], at[use]
@@ -207,10 +237,10 @@ def _lists(texts: DataFrame, order: Broadcast, n: int, percent: int, n_shingles:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain: dict[int, list[bytes]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                plain.setdefault(row["block"], []).append(row["plain"])
-                if row["common"]:
-                    yield out(np.frombuffer(row["common"], _PREFIX))
+            for block, own, common in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                plain.setdefault(block, []).append(own)
+                if common:
+                    yield out(np.frombuffer(common, _PREFIX), True)
         for block in sorted(plain):
             rows = np.frombuffer(b"".join(plain.pop(block)), _PREFIX)
             by = np.lexsort((rows["sid"], rows["token"]))
@@ -219,118 +249,93 @@ def _lists(texts: DataFrame, order: Broadcast, n: int, percent: int, n_shingles:
             other = np.append(False, (token[1:] == token[:-1]) & (sid[1:] != sid[:-1])) if len(by) else new
             lists = np.cumsum(new) - 1
             shared = np.bincount(lists, other, int(new.sum())) > 0  # lists with a second class
-            first = new | other  # one row of each class
-            yield out(rows[by[first & shared[lists]]])
+            rows = rows[by[(new | other) & shared[lists]]]  # one row of each class
+            yield out(rows[_hopeful(rows, percent)], False)
 
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[c].astype(np.int64)) for c in _PREFIX.names], list(_PREFIX.names))
+    def out(rows: np.ndarray, common: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(rows[c].astype(np.int64)) for c in _PREFIX.names], pa.array(np.full(len(rows), common))], [*_PREFIX.names, "common"])
 
-    rows = texts.mapInArrow(lean(send), schema).repartition(blocks, "block").mapInArrow(lean(meet), "token long, sid long, n long, at long")
-    lists = stage(rows.distinct(), "prefixes", free=True)
-    for _ in range(2):  # a list may lose its second class, and a class with it
-        shared = lists.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
-        lists = stage(lists.join(stage(shared, "shared"), "token", "left_semi"), "lists", free=True)
-        enough = lists.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.floor(F.floor(F.col("n") * percent / 100) * LONGER / 100) + 1).select("sid")  # as many as the smallest possible partner's prefix asks for
-        lists = stage(lists.join(stage(enough, "enough"), "sid", "left_semi"), "lists", free=True)
-    return stage(lists.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)), "lists")
+    rows = stage(texts.mapInArrow(lean(send), schema).repartition(blocks, "block").mapInArrow(lean(meet), "token long, sid long, n long, at long, common boolean"), "prefixes", free=True)
+    own = rows.where("common").drop("common").distinct()
+    lists = stage(rows.where("not common").drop("common").unionByName(own), "lists")
+    drop(rows)
+    return lists
 
 
 def _segments(texts: DataFrame, members: DataFrame, lists: DataFrame, order: Broadcast, n: int) -> DataFrame:
-    """(sid, fragment, shingles) of the classes on lists: read again from one document of each."""
-    key = F.xxhash64("id", "sid")
+    """(sid, fragment, shingles) of the classes on lists: read again from one document of each, some from more than one."""
+    key = F.xxhash64("id")
     listed = lists.select("sid").distinct()
     chosen = stage(members.groupBy("sid").agg(F.min("id").alias("id")).join(listed, "sid", "left_semi").select(key.alias("key")), "chosen")
     wanted = bloom.repeated_filter(chosen.unionAll(chosen), chosen.count())  # each key twice, so that the filter knows them all
-    kind = texts.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8")
-            bounds = np.cumsum([0, *[len(x) // 8 for x in batch.column(1).to_pylist()]])
-            owner = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            fragment = order.value.fragment(values)
-            by = np.lexsort((values, fragment, owner))
-            owner, fragment, values = owner[by], fragment[by], values[by]
-            starts = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1]))) if len(owner) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(owner))
-            parts = [values[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts])), pa.array(fragment[starts].astype(np.int32)), pa.array(parts, pa.binary())], ["sid", "fragment", "shingles"])
-
-    read = texts.mapInArrow(lean(lambda batches: _all_sets(batches, n)), f"id {kind}, sid long, shingles binary")
-    kept = read.where(bloom.maybe_repeated(wanted, key)).select("sid", "shingles")
-    return stage(kept.mapInArrow(lean(cut), "sid long, fragment int, shingles binary"), "segments", free=True)
-
-
-def _all_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for ids, sids, values, bounds in _sets(batches, n):
-        blobs = [values[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sids), pa.array(blobs, pa.binary())], ["id", "sid", "shingles"])
-
-
-def _overlaps(a: np.ndarray, b: np.ndarray, sids: np.ndarray, parts: list[bytes]) -> np.ndarray:
-    """Of each pair, the shingles that both parts hold; half a million elements at once."""
-    first: dict[int, int] = {}
-    for k, s in enumerate(sids.tolist()):
-        first.setdefault(s, k)
-    known = np.array(sorted(first), np.int64)
-    arrays = [np.frombuffer(parts[first[s]], "<u8") for s in known.tolist()]
-    sizes = np.array([len(x) for x in arrays], np.int64)
-    at, values = np.cumsum(sizes) - sizes, np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    out = np.zeros(len(a), np.int64)
-    if not len(values):
-        return out
-    names, name = np.unique(values, return_inverse=True)
-    keys = np.repeat(np.arange(len(known)), sizes) * len(names) + name  # sorted, as parts are
-    ia, ib = np.searchsorted(known, a), np.searchsorted(known, b)
-    there = (ia < len(known)) & (ib < len(known))
-    there[there] = (known[ia[there]] == a[there]) & (known[ib[there]] == b[there])
-    rows = np.flatnonzero(there)
-    i = 0
-    while i < len(rows):
-        total = np.cumsum(sizes[ia[rows[i : i + (1 << 16)]]])
-        j = i + max(1, int(np.searchsorted(total, 1 << 19)))
-        own = rows[i:j]
-        n = sizes[ia[own]]
-        pair = np.repeat(np.arange(len(own)), n)
-        element = np.repeat(at[ia[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        wanted = ib[own][pair] * len(names) + name[element]
-        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        out[own] = np.bincount(pair, keys[place] == wanted, len(own)).astype(np.int64)
-        i = j
-    return out
+            kept = batch.filter(pa.array(bloom.tested(wanted.value, batch.column(0).to_numpy())))
+            for _, sids, values, bounds in _sets(iter([kept]), n):
+                owner = np.repeat(np.arange(len(sids)), np.diff(bounds))
+                fragment = order.value.fragment(values)
+                by = np.lexsort((fragment, owner))  # stable: shingles stay in order
+                owner, fragment, values = owner[by], fragment[by], values[by]
+                starts = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1]))) if len(owner) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(owner))
+                parts = [values[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(sids[owner[starts]]), pa.array(fragment[starts].astype(np.int32)), pa.array(parts, pa.binary())], ["sid", "fragment", "shingles"])
+
+    found = stage(texts.select(key.alias("key"), "text").mapInArrow(lean(cut), "sid long, fragment int, shingles binary"), "segments")
+    drop(chosen)
+    return found
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int, size: float) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the similarity, as (a, b): partial overlaps by fragment, summed by pair."""
-    spark, fragments = pairs.sparkSession, PLAIN_FRAGMENTS + COMMON_FRAGMENTS
-    blocks = -(-partitions_for(spark, size) // fragments)
-    # a representative's pairs are dealt over up to 64 blocks
-    block = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(min(blocks, 64)))), F.lit(blocks)).cast("int")
-    pairs = stage(pairs.withColumn("block", block), "pairs")
-    needs = pairs.select(F.col("a").alias("sid"), "block").unionByName(pairs.select(F.col("b").alias("sid"), "block")).distinct()
-    parts = segments.join(needs, "sid").select("block", "fragment", "sid", "shingles")
-    asked = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
-    rows = parts.unionByName(asked.select("block", "fragment", "a", "b", "na", "nb"), allowMissingColumns=True)
-    schema = "a long, b long, na long, nb long, overlap long"
+    """Of the pairs (a, b, na, nb) those that reach the similarity, as (a, b): partial overlaps by fragment, summed by pair.
+
+    A fragment of b's set goes where a's fragment is; a class with many pairs has its own in as many places as it has lots of TOGETHER pairs.
+    """
+    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(TOGETHER)).alias("lots"))
+    dealt = stage(pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).select("a", "lot", "b", "na", "nb"), "dealt")
+    left = dealt.select("a", "lot").distinct()
+    rows = segments.join(dealt, segments["sid"] == dealt["b"]).select("a", "lot", "fragment", "b", "na", "nb", "shingles")
+    rows = rows.unionByName(segments.join(left, segments["sid"] == left["a"]).select("a", "lot", "fragment", "shingles"), allowMissingColumns=True)
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The overlaps of one fragment of one lot: rows with b, and at least one without it, which holds a's shingles."""
+        b = batch.column(3)
+        own, rest = batch.filter(b.is_null()), batch.filter(b.is_valid())
+        if not len(own) or not len(rest):
+            return rest.slice(0, 0).select([0, 3, 4, 5]).append_column("overlap", pa.array([], pa.int64()))
+        _, first = np.unique(rest.column(3).to_numpy(), return_index=True)
+        rest = rest.take(pa.array(first))
+        known, parts = np.frombuffer(own.column(6)[0].as_py(), "<u8"), rest.column(6).to_pylist()
+        values = np.frombuffer(b"".join(parts), "<u8")
+        hit = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+        upto = np.append(0, np.cumsum(hit))
+        ends = np.cumsum([len(x) // 8 for x in parts])
+        overlap = upto[ends] - upto[np.append(0, ends[:-1])]
+        return rest.select([0, 3, 4, 5]).append_column("overlap", pa.array(overlap)).filter(pa.array(overlap > 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[tuple[int, int], list[pa.RecordBatch]] = {}
-        for batch in batches:
-            key = batch.column(0).to_numpy().astype(np.int64) * fragments + batch.column(1).to_numpy()
-            for k in np.unique(key):
-                tables.setdefault(int(k), []).append(batch.filter(pa.array(key == k)))
-        for k in sorted(tables):
-            own = pa.Table.from_batches(tables.pop(k)).combine_chunks()
-            asks, sets = own.filter(own["a"].is_valid()), own.filter(own["sid"].is_valid())
-            if len(asks) and len(sets):
-                a, b = asks["a"].to_numpy(), asks["b"].to_numpy()
-                overlap = _overlaps(a, b, sets["sid"].to_numpy(), sets["shingles"].to_pylist())
-                some = np.flatnonzero(overlap)
-                yield from pa.table([asks[c].take(pa.array(some)) for c in ("a", "b", "na", "nb")] + [pa.array(overlap[some])], names=["a", "b", "na", "nb", "overlap"]).combine_chunks().to_batches()
-
-    partial = rows.repartition(2 * blocks * fragments, "block", "fragment").mapInArrow(lean(count), schema)
+        held: pa.RecordBatch | None = None
+        for batch in batches:  # in order of a, lot and fragment
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            bounds = [0, *cuts.tolist()]
+            found = [counted(batch.slice(i, j - i)) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            if found:
+                yield pa.concat_batches(found)
+            held = batch.slice(bounds[-1])
+        if held is not None and len(held):
+            yield counted(held)
+
+    spark = pairs.sparkSession
+    met = rows.select("a", "lot", "fragment", "b", "na", "nb", "shingles").repartition(partitions_for(spark, size), "a", "lot", "fragment").sortWithinPartitions("a", "lot", "fragment")
+    partial = met.mapInArrow(lean(count), "a long, b long, na long, nb long, overlap long")
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return total.where(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    links = stage(total.where(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links", free=True)
+    drop(dealt)
+    return links
 
 
 def _possible(percent: int, x: str, y: str):
@@ -340,15 +345,53 @@ def _possible(percent: int, x: str, y: str):
     return lengths & (F.lit(100 + percent) * F.least(nx - ax, ny - ay) >= percent * (nx + ny))
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    """Distinct pairs, smaller class first."""
-    swap = F.col("x_sid") > F.col("y_sid")
-    pick = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c))
-    return found.select(pick("x_sid", "y_sid").alias("a"), pick("y_sid", "x_sid").alias("b"), pick("x_n", "y_n").alias("na"), pick("y_n", "x_n").alias("nb")).distinct()
-
-
-def _named(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(prefix + c) for c in df.columns if c != "token"])
+def _star_pairs(left: DataFrame, open_lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) of each open list's representative a with its other members, across components."""
+    first = F.xxhash64("sid", "token", F.lit(turn)) if turn else F.floor(F.col("at") * F.lit(1 << 20) / F.col("n"))
+    reps = left.join(open_lists.select("token"), "token", "left_semi").groupBy("token").agg(F.min(F.struct(first.alias("first"), F.xxhash64("sid").alias("tie"), "sid", "n", "at", "comp")).alias("rep"))
+    reps = stage(reps.select("token", *[F.col(f"rep.{c}").alias(f"x_{c}") for c in ("sid", "n", "at", "comp")]), "reps")
+    met = left.select("token", *[F.col(c).alias(f"y_{c}") for c in ("sid", "n", "at", "comp")]).join(reps, "token").where("x_comp <> y_comp").where(_possible(percent, "x_", "y_"))
+    turned = F.col("x_sid") > F.col("y_sid")
+    pair = met.groupBy(F.least("x_sid", "y_sid").alias("lo"), F.greatest("x_sid", "y_sid").alias("hi")).agg(
+        F.min(F.when(turned, F.col("y_n")).otherwise(F.col("x_n"))).alias("n_lo"), F.min(F.when(turned, F.col("x_n")).otherwise(F.col("y_n"))).alias("n_hi"), F.min(turned).alias("turned")
+    )
+    pick = lambda c, d: F.when(F.col("turned"), F.col(d)).otherwise(F.col(c))
+    pairs = stage(pair.select(pick("lo", "hi").alias("a"), pick("hi", "lo").alias("b"), pick("n_lo", "n_hi").alias("na"), pick("n_hi", "n_lo").alias("nb")), "pairs")
+    drop(reps)
+    return pairs
+
+
+def _cross_pairs(left: DataFrame, open_lists: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """All pairs (a, b, na, nb) across components that lists leave possible, not distinct, and their number."""
+    blocks = F.ceil(F.col("size") / F.lit(LIST_BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    rows = left.join(open_lists.select("token", blocks.alias("blocks")), "token").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = stage(rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "n", "at", "comp"), "met")
+
+    def pairs(batches: Iterator[pa.RecordBatch], count: bool) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]) for batch in batches]
+        token, i, j, own, sid, n, at, comp = np.concatenate(parts, 1) if parts else np.zeros((8, 0), np.int64)
+        last = _last_partner(n, at, percent)
+        by = np.lexsort((n, j, i, token))
+        token, i, j, own, sid, n, comp, last = (x[by] for x in (token, i, j, own, sid, n, comp, last))
+        new = np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) if len(by) else np.zeros(0, bool)
+        start, end = _ranges(np.cumsum(new), n, last)
+        total = 0
+        for x, y in _in_ranges(start, end):
+            fits = (comp[x] != comp[y]) & (last[y] >= n[x]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            x, y = x[fits], y[fits]
+            total += len(x)
+            if not count:
+                x, y = np.where(sid[x] < sid[y], x, y), np.where(sid[x] < sid[y], y, x)
+                known = np.unique(np.stack([sid[x], sid[y], n[x], n[y]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in known], ["a", "b", "na", "nb"])
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([total])], ["pairs"])
+
+    dealt = rows.repartition(partitions_for(left.sparkSession, 64.0 * rows.count()), "token", "i", "j")
+    total = dealt.mapInArrow(lean(lambda x: pairs(x, True)), "pairs long").agg(F.sum("pairs")).first()[0] or 0
+    return dealt.mapInArrow(lean(lambda x: pairs(x, False)), "a long, b long, na long, nb long"), total
 
 
 def class_links(texts: DataFrame, members: DataFrame, common: DataFrame, n: int, percent: int) -> DataFrame | None:
@@ -363,30 +406,34 @@ def class_links(texts: DataFrame, members: DataFrame, common: DataFrame, n: int,
     if lists.isEmpty():
         return None
     segments = _segments(texts, members, lists, order, n)
-    size = 8.0 * (lists.select("sid", "n").distinct().agg(F.sum("n")).first()[0] or 0)
     links: list[DataFrame] = []
+    asked: list[DataFrame] = []
     left = lists.withColumn("comp", F.col("sid"))
     for turn in range(STAR_ROUNDS + 1):
-        if turn:
-            labels = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "sid") if links else None
-            left = lists.join(stage(labels, "labels"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component") if labels is not None else left
-        left = stage(left, "listed")
-        open_lists = left.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)) if turn else F.lit(0).cast("long"), "sid", "n", "at", "comp")).alias("rep"))
-        open_lists = stage(open_lists.where("lo <> hi").select("token", "size", *[F.col(f"rep.{c}").alias(f"x_{c}") for c in ("sid", "n", "at", "comp")]), "open")
-        rows, square = open_lists.agg(F.sum("size"), F.sum(F.col("size").cast("double") * F.col("size"))).first()
+        if turn and links:
+            labels = stage(components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "sid"), "labels")
+            left = stage(lists.join(labels, "sid", "left").select("token", "sid", "n", "at", F.coalesce("component", "sid").alias("comp")), "listed")
+        sizes = left.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        open_lists = stage(sizes.where("lo <> hi").select("token", "size"), "open")
+        rows = open_lists.agg(F.sum("size")).first()[0]
         if not rows:
             break
-        y = _named(left, "y_")
-        last = turn == STAR_ROUNDS or square <= FEW_PAIRS * rows
-        if not last:
-            met = y.join(open_lists.drop("size"), "token")
-        else:
-            still = stage(left.join(open_lists.select("token"), "token", "left_semi"), "still")
-            met = _named(still, "y_").join(_named(still, "x_"), "token").where("x_sid < y_sid")
-        pairs = _pairs(met.where("x_comp <> y_comp").where(_possible(percent, "x_", "y_")))
-        new = stage(_linked(pairs, segments, percent, size), "links", free=True)
-        if not new.isEmpty():
-            links.append(new)
+        last = turn == STAR_ROUNDS
+        if turn or last:
+            found, total = _cross_pairs(left, open_lists, percent)
+            last = last or total <= FEW_PAIRS * rows
+        pairs = stage(found.distinct(), "pairs", free=True) if last else _star_pairs(left, open_lists, percent, turn)
+        for known in asked:  # counted before
+            same = (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi"))
+            pairs = pairs.join(known.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), same, "left_anti")
+        if asked:
+            pairs = stage(pairs, "fresh")
+        size = 8.0 * (pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0)
+        if size:
+            new = _linked(pairs, segments, percent, size)
+            asked.append(pairs)
+            if not new.isEmpty():
+                links.append(new)
         if last:
             break
     return reduce(DataFrame.unionByName, links) if links else None
