@@ -13,8 +13,9 @@ that one is nearest to the text that they were made from. After that only pairs
 order of length, so that few are met which lengths and places rule out; where these are still many, lists are paired with another member
 first. All pairs that remain are counted, so no link between components is lost.
 
-What is shuffled: packed prefix shingles (a fifth of all), of which those that only one class has go no further; for each pair the set of one
-class, and for each 256 pairs of a representative its own; partial counts. Lists of common shingles are rows of their own and never meet in
+What is shuffled: packed prefix shingles (a fifth of all), of which those that only one class has go no further; for each pair the parity bits
+of both classes, which rule out most that aren't linked; for each of the others the set of one class, and for each 256 pairs of a representative
+its own; partial counts. Lists of common shingles are rows of their own and never meet in
 one task; long lists meet in blocks.
 
 Defined results: null and empty texts and texts without words have empty sets and are linked with nothing; texts with fewer words than a
@@ -49,6 +50,8 @@ PLAIN_FRAGMENTS, COMMON_FRAGMENTS = 12, 4
 STAR_ROUNDS, FEW_PAIRS = 5, 2
 #: Pairs of a representative that are counted in one place, members of a list that meet in one block, and pairs looked at in one go.
 TOGETHER, LIST_BLOCK, AT_ONCE = 256, 8192, 1 << 20
+#: Bytes of a class's parity bits, at least and at most; in segments they take the place of a fragment of this number.
+LEAST_BITS, MOST_BITS, PARITY = 32, 512, -1
 
 _PREFIX = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
@@ -105,6 +108,30 @@ def _taken(values: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np
     return values[np.repeat(keep, sizes)], np.cumsum([0, *sizes[keep]])
 
 
+def parity_bits(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each set: bits that its shingles flip, each one bit; about four bits a shingle, a power of two of bytes.
+
+    Sets that differ in d shingles differ in d bits at most, so that bits can rule out a pair, and never one that is linked.
+    """
+    sizes, out = np.diff(bounds), []
+    for size, a, b in zip(sizes.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        width = min(max(LEAST_BITS, 1 << max(0, (size - 1) // 2).bit_length()), MOST_BITS)
+        place = (values[a:b] >> np.uint64(64 - 13)).astype(np.int64) & (8 * width - 1)  # shorter bits are the longer ones, folded
+        out.append(np.packbits(np.bincount(place, minlength=8 * width).astype(np.uint8) & 1, bitorder="little").tobytes())
+    return out
+
+
+def different_bits(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many parity bits of two sets differ, pair by pair; the longer are folded."""
+    wide, out = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2), np.zeros(len(a), np.int64)
+    for x, y in np.unique(wide, axis=0):
+        own = np.flatnonzero((wide == (x, y)).all(1))
+        width = min(x, y)
+        sides = [np.bitwise_xor.reduce(np.frombuffer(b"".join([side[k] for k in own.tolist()]), np.uint8).reshape(len(own), -1, width), axis=1) for side in (a, b)]
+        out[own] = np.bitwise_count(sides[0] ^ sides[1]).sum(1)
+    return out
+
+
 class _Order:
     """The global order: common shingles (sorted by hash, with ranks) come after all others."""
 
@@ -272,21 +299,36 @@ def _segments(texts: DataFrame, members: DataFrame, lists: DataFrame, order: Bro
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = batch.filter(pa.array(bloom.tested(wanted.value, batch.column(0).to_numpy())))
-            for _, sids, values, bounds in _sets(iter([kept]), n):
-                owner = np.repeat(np.arange(len(sids)), np.diff(bounds))
+            for _, sids, values_of, bounds in _sets(iter([kept]), n):
+                values, owner = values_of, np.repeat(np.arange(len(sids)), np.diff(bounds))
                 fragment = order.value.fragment(values)
                 by = np.lexsort((fragment, owner))  # stable: shingles stay in order
                 owner, fragment, values = owner[by], fragment[by], values[by]
                 starts = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1]))) if len(owner) else np.zeros(0, np.int64)
                 ends = np.append(starts[1:], len(owner))
                 parts = [values[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sids[owner[starts]]), pa.array(fragment[starts].astype(np.int32)), pa.array(parts, pa.binary())], ["sid", "fragment", "shingles"])
+                bits = parity_bits(values_of, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(sids[owner[starts]], sids)), pa.array(np.append(fragment[starts], np.full(len(sids), PARITY)).astype(np.int32)), pa.array(parts + bits, pa.binary())], ["sid", "fragment", "shingles"])
 
     found = stage(texts.select(key.alias("key"), "text").mapInArrow(lean(cut), "sid long, fragment int, shingles binary"), "segments")
     drop(chosen)
     return found
 
 
+def _near(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that parity bits don't rule out."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = different_bits(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            yield batch.select([0, 1, 2, 3]).filter(pa.array((both - apart) * (100 + percent) >= 2 * percent * both))
+
+    named = lambda x: bits.select(F.col("sid").alias(x), F.col("bits").alias(f"bits_{x}"))
+    met = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    return met.mapInArrow(lean(test), "a long, b long, na long, nb long")
+
+
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int, size: float) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that reach the similarity, as (a, b): partial overlaps by fragment, summed by pair.
 
@@ -406,6 +448,8 @@ def class_links(texts: DataFrame, members: DataFrame, common: DataFrame, n: int,
     if lists.isEmpty():
         return None
     segments = _segments(texts, members, lists, order, n)
+    bits = stage(segments.where(F.col("fragment") == PARITY).groupBy("sid").agg(F.min("shingles").alias("bits")), "bits")
+    segments = segments.where(F.col("fragment") != PARITY)
     links: list[DataFrame] = []
     asked: list[DataFrame] = []
     left = lists.withColumn("comp", F.col("sid"))
@@ -426,8 +470,7 @@ def class_links(texts: DataFrame, members: DataFrame, common: DataFrame, n: int,
         for known in asked:  # counted before
             same = (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi"))
             pairs = pairs.join(known.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), same, "left_anti")
-        if asked:
-            pairs = stage(pairs, "fresh")
+        pairs = stage(_near(pairs, bits, percent), "near")
         size = 8.0 * (pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0)
         if size:
             new = _linked(pairs, segments, percent, size)
