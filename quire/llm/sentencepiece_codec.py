@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.staging import bound_batches, lean
-from quire.llm.table import SpanCache, Table
-from quire.llm.text import slices, span_hashes, text_bytes
+from quire.llm.table import Collision, SpanCache, Table
+from quire.llm.text import slices, text_bytes
 
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -300,9 +300,12 @@ class Model:
         cut[bounds] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(flat)) if len(starts) else starts
-        hashes, first, word = np.unique(span_hashes(flat, starts, ends), return_index=True, return_inverse=True)
-        places = self.known.find(hashes)
-        new = np.flatnonzero(places < 0)
+        try:
+            places, first, word = self.known.find(flat, starts, ends)
+        except Collision:  # word by word
+            own = [self._words(flat[a:b][None, :])[1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            return np.concatenate(own), np.append(0, np.cumsum([len(x) for x in own]))[np.searchsorted(starts, bounds)]
+        new = self.known.new
         a, size = starts[first[new]], (ends - starts)[first[new]]
         order = np.argsort(size, kind="stable")
         counts, lists = np.zeros(len(new), np.int64), [np.zeros(0, np.int64)]
@@ -315,7 +318,7 @@ class Model:
             counts[own] = n
             lists.append(pieces)
             i = j
-        places[new[order]] = self.known.add(hashes[new[order]], counts[order], np.concatenate(lists))
+        places[new[order]] = self.known.add(order, counts[order], np.concatenate(lists))
         n, ids = self.known.gather(places[word])
         return ids, np.append(0, np.cumsum(n))[np.searchsorted(starts, bounds)]
 

@@ -4,87 +4,129 @@ from __future__ import annotations
 
 import numpy as np
 
+from quire.llm.text import span_hashes
+
+#: Bytes at either end of a span that are compared as one number.
+_EDGE = 8
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(_EDGE + 1)], np.uint64)
+
 
 class Table:
-    """Whole numbers by 64-bit key, looked up many at a time. A key lies in one of two slots; one that is put out of its slot goes to its other."""
+    """Whole numbers by 64-bit key, looked up many at a time. A key lies in the first free slot from its own on; a third of the slots are used at most."""
 
     def __init__(self, log2: int) -> None:
         self.log2, self.n = log2, 0
-        self.keys, self.values, self.full = np.zeros(1 << log2, np.uint64), np.zeros(1 << log2, np.int32), np.zeros(1 << log2, bool)
+        self.keys, self.values = np.zeros(1 << log2, np.uint64), np.full(1 << log2, -1, np.int32)
 
-    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift = np.uint64(64 - self.log2)
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), ((keys * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift).astype(np.int64)
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log2)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values; -1 for keys that aren't there."""
-        a, b = self._slots(keys)
-        out = np.where(self.full[a] & (self.keys[a] == keys), self.values[a], -1)
-        rest = np.flatnonzero(out < 0)
-        b = b[rest]
-        out[rest] = np.where(self.full[b] & (self.keys[b] == keys[rest]), self.values[b], -1)
+        slot, last = self._slots(keys), len(self.keys) - 1
+        out = self.values[slot]
+        rest = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(rest):  # what lies in another key's slot goes one slot on
+            slot[rest] = (slot[rest] + 1) & last
+            out[rest] = self.values[slot[rest]]
+            rest = rest[(out[rest] >= 0) & (self.keys[slot[rest]] != keys[rest])]
         return out
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Adds distinct keys that aren't there yet."""
+        """Adds distinct keys that aren't there yet, with values from 0 on."""
         if (self.n + len(keys)) * 3 > len(self.keys):
-            self._grow(self.n + len(keys))
-        firsts, seconds = (x.tolist() for x in self._slots(keys))
-        for i, (key, value, a, b) in enumerate(zip(keys, values, firsts, seconds, strict=True)):
-            slot, turns = (b if self.full[a] else a), 0
-            while self.full[slot] and turns < 200:
-                key, self.keys[slot] = self.keys[slot], key
-                value, self.values[slot] = self.values[slot], value
-                (x,), (y,) = self._slots(np.array([key], np.uint64))
-                slot, turns = int(y if slot == x else x), turns + 1
-            if self.full[slot]:
-                self._grow(len(self.keys))
-                return self.put(np.append(key, keys[i + 1 :]), np.append(value, values[i + 1 :]))
-            self.keys[slot], self.values[slot], self.full[slot] = key, value, True
-            self.n += 1
-        return None
-
-    def _grow(self, n: int) -> None:
-        keys, values = self.keys[self.full], self.values[self.full]
-        self.__init__(max(self.log2 + 1, (n * 3).bit_length()))
-        self.put(keys, values)
+            known, held = self.values >= 0, (self.keys, self.values)
+            n = self.n + len(keys)
+            self.__init__(max(self.log2 + 1, (n * 3).bit_length()))
+            self._place(held[0][known], held[1][known])
+        self._place(keys, values)
+
+    def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot, last, rest = self._slots(keys), len(self.keys) - 1, np.arange(len(keys))
+        while len(rest):
+            own = slot[rest]
+            free = np.flatnonzero(self.values[own] < 0)
+            _, first = np.unique(own[free], return_index=True)  # one key a slot
+            put = free[first]
+            self.keys[own[put]], self.values[own[put]] = keys[rest[put]], values[rest[put]]
+            rest = np.delete(rest, put)
+            slot[rest] = (slot[rest] + (self.keys[slot[rest]] != keys[rest])) & last
+        self.n += len(keys)
+
+
+class Collision(Exception):
+    """Two different spans have one hash."""
+
+
+def _edges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last bytes of spans as numbers; with the length they settle spans of up to twice as many bytes."""
+    padded = np.concatenate([np.zeros(_EDGE, np.uint8), data, np.zeros(_EDGE, np.uint8)])
+    words = np.ndarray(len(padded) - _EDGE + 1, "<u8", padded.data, strides=(1,))
+    size = np.minimum(ends - starts, _EDGE)
+    return words[starts + _EDGE] & _MASKS[size], words[ends] >> (np.uint64(8) * (_EDGE - size).astype(np.uint64))
 
 
 class SpanCache:
-    """Encoded spans of bytes by their hashes: what was encoded once in a process isn't again, until `most` spans are held and all are let go."""
+    """Encoded spans of bytes: what was encoded once in a process isn't again, until `most` spans are held and all are let go. Found by hash, compared by their bytes."""
 
-    def __init__(self, most: int = 600_000) -> None:
+    def __init__(self, most: int = 400_000) -> None:
         self.most = most
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.table, self.n, self.used = Table(16), 0, 0
-        self.starts, self.sizes, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of distinct spans, -1 for those not held; none is where the cache was full and is empty now."""
-        out = self.table.get(hashes)
-        if self.n + int((out < 0).sum()) > self.most and self.n:
-            self._clear()
-            return np.full(len(hashes), -1)
-        return out
-
-    def add(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        """Holds new spans, with their values one after the other; their places."""
-        n, used = self.n + len(hashes), self.used + len(flat)
-        if n > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
+        self.starts, self.sizes, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
+        self.heads, self.tails, self.lengths = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.long: dict[int, bytes] = {}
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct spans' places (-1: not held), the first span of each, and the distinct one of every span. Collision if hashes of unequal spans are equal."""
+        hashes, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        heads, tails = _edges(data, starts, ends)
+        length = ends - starts
+        alike = first[back]
+        if (heads != heads[alike]).any() or (tails != tails[alike]).any() or (length != length[alike]).any():
+            raise Collision
+        span = lambda k: data[starts[k] : ends[k]].tobytes()
+        long = length > 2 * _EDGE
+        if any(span(k) != span(alike[k]) for k in np.flatnonzero(long & (alike != np.arange(len(starts)))).tolist()):
+            raise Collision
+        places = self.table.get(hashes)
+        if self.n + int((places < 0).sum()) > self.most and self.n:
+            self.clear()
+            places = np.full(len(hashes), -1, np.int32)
+        held = np.flatnonzero(places >= 0)
+        at, own = places[held], first[held]
+        if (self.heads[at] != heads[own]).any() or (self.tails[at] != tails[own]).any() or (self.lengths[at] != length[own]).any():
+            raise Collision
+        if any(self.long[p] != span(k) for p, k in zip(at[long[own]].tolist(), own[long[own]].tolist(), strict=True)):
+            raise Collision
+        self.new = np.flatnonzero(places < 0)
+        own = first[self.new]
+        self._fresh = hashes[self.new], heads[own], tails[own], length[own], {k: span(j) for k, j in enumerate(own.tolist()) if long[j]}
+        return places, first, back
+
+    def add(self, order: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Holds the spans that find() has just missed, in an order, with their values one after the other; their places in that order."""
+        hashes, heads, tails, lengths, long = self._fresh
+        n, used = self.n + len(order), self.used + len(flat)
+        for name in ("starts", "sizes", "heads", "tails", "lengths"):
+            if n > len(getattr(self, name)):
+                setattr(self, name, np.concatenate([getattr(self, name)[: self.n], np.zeros(n + (n >> 1) - self.n, getattr(self, name).dtype)]))
         if used > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * used)
-        self.sizes[self.n : n] = sizes
-        self.starts[self.n : n] = self.used + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(used + (used >> 1) - self.used, np.int32)])
+        own = slice(self.n, n)
+        self.sizes[own], self.starts[own] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.heads[own], self.tails[own], self.lengths[own] = heads[order], tails[order], lengths[order]
         self.flat[self.used : used] = flat
         places = np.arange(self.n, n)
-        self.table.put(hashes, places.astype(np.int32))
+        if long:
+            self.long |= {int(p): long[k] for p, k in zip(places, order.tolist(), strict=True) if k in long}
+        self.table.put(hashes[order], places.astype(np.int32))
         self.n, self.used = n, used
         return places
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of values of each place, and all values in order."""
-        n = self.sizes[places]
+        n = self.sizes[places].astype(np.int64)
         return n, self.flat[np.repeat(self.starts[places] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
