@@ -8,7 +8,7 @@ Training takes at most `per_label` documents of each label and `most` in all (a
 each; everything else runs over whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the label that comes first; rows repeated
-give results repeated; with no labelled text every text is `und`; detect() keeps all columns and replaces those named like its own.
+give results repeated; null labels are left out, with no labelled text every text is `und`; an empty table gives an empty one; detect() keeps all columns and replaces those named like its own.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.staging import bound_batches, give_back
 from quire.llm.text import LOWER
 
 #: Bytes of a window, widths of the filters, filters of each width.
@@ -145,6 +146,7 @@ def train(texts: list[bytes], targets: list[str], epochs: int = 14, rate: float
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 1500, most: int = 20_000) -> ByteCNN | None:
     """A network for the labels of docs, from a bounded sample; None if no text is labelled."""
+    bound_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(
         "label is not null and text is not null"
     )
@@ -156,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     share = F.create_map(*[F.lit(x) for k, v in sorted(counts.items()) for x in (k, min(1.0, each / v))])[F.col("label")]
     n = F.length("text")
     start = F.lit(1) + F.pmod(F.xxhash64("id", F.lit(12)), F.greatest(n - F.lit(WINDOW), F.lit(0)) + F.lit(1)).cast("int")
-    rows = known.where(place < share).select("id", "label", F.substring(F.col("text"), start, F.lit(WINDOW)).alias("piece")).limit(2 * most).collect()
+    rows = known.where(place < share).select("id", "label", F.substring(F.col("text"), start, F.lit(WINDOW)).alias("piece")).orderBy(F.xxhash64("id", F.lit(13)), "piece").limit(2 * most).collect()
     rows = sorted(((r["label"], str(r["id"]), r["piece"]) for r in rows if any(map(str.isalpha, r["piece"]))))
     return train([r[2].encode() for r in rows], [r[0] for r in rows]) if rows else None
 
@@ -171,6 +173,7 @@ def predicted(model: ByteCNN | None, text: str | Column) -> Column:
     @F.pandas_udf("lang string, score double")
     def run(column: pd.Series) -> pd.DataFrame:
         p = score(model, [x.encode() if x else b"" for x in column])
+        give_back()
         best = p.argmax(axis=1)
         return pd.DataFrame({"lang": np.array(model.labels, object)[best], "score": np.clip(p[np.arange(len(p)), best], 0, 1)})
 

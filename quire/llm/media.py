@@ -1,11 +1,11 @@
 """Media columns: ISO media containers, walked box by box without decoding what they hold.
 
 probe() reads a container's bytes: it walks nested boxes (32-bit, 64-bit and open-ended sizes), decodes the sample tables of each
-track and yields codec, duration and the byte ranges of keyframes. pack() writes payloads as 8-bit PCM samples into such a
-container, losslessly.
+track and yields codec, duration and the byte ranges of keyframes; in fragmented files also those of the fragments (moof, with the
+defaults of trex and tfhd). pack() writes payloads as 8-bit PCM samples into such a container, losslessly.
 
 Defined results: null and empty media give null fields and no tracks; damaged containers give what could be read before the damage
-and an error text, never an exception; repeated rows give repeated results; an empty table gives an empty one; other columns stay,
+and an error text, never an exception, and never take more memory than a few times their own size, whatever counts they claim; repeated rows give repeated results; an empty table gives an empty one; other columns stay,
 and the result is one struct column under the name asked for, which replaces a column of that name.
 """
 
@@ -66,10 +66,11 @@ def sample_ranges(sizes: np.ndarray, chunks: np.ndarray, runs: np.ndarray) -> tu
     lengths = np.diff(np.append(runs[:, 0], len(chunks) + 1))
     if (lengths < 0).any():
         raise ValueError("chunk runs are out of order")
-    each = np.repeat(runs[:, 1], lengths)
-    if each.sum() < len(sizes):
+    each = np.minimum(np.repeat(runs[:, 1], lengths), len(sizes))  # no chunk has more than all
+    upto = np.cumsum(each)
+    if upto[-1] < len(sizes):
         raise ValueError("there are more samples than chunks hold")
-    chunk = np.repeat(np.arange(len(each)), each)[: len(sizes)]
+    chunk = np.searchsorted(upto, np.arange(len(sizes)), "right")
     before = np.cumsum(sizes) - sizes
     first = np.searchsorted(chunk, np.arange(len(each)))
     starts = chunks[chunk] + before - before[np.minimum(first, len(sizes) - 1)][chunk]
@@ -87,15 +88,18 @@ def _half_bytes(data: memoryview, at: int, end: int) -> np.ndarray:
 
 
 class _Track:
-    """What the boxes of one trak tell."""
+    """What the boxes of one trak tell. most: the container's bytes, which no table of samples can outnumber."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most, self.id, self.parts = most, 0, []
         self.codec, self.timescale, self.duration = None, None, None
         self.sizes = self.chunks = np.zeros(0, np.int64)
         self.runs, self.times, self.keys = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64), None
 
     def read(self, kind: bytes, data: memoryview, at: int, end: int) -> None:
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            self.id = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+        elif kind == b"mdhd":
             wide = data[at] == 1
             self.timescale, self.duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
         elif kind == b"stsd" and struct.unpack_from(">I", data, at + 4)[0]:
@@ -106,8 +110,8 @@ class _Track:
             self.runs = _table(data, at, end, 3)[:, :2]
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, at + 4)
-            if same and n * same > 1 << 48:
-                raise ValueError("a size table claims too much")
+            if same and n * same > self.most:
+                raise ValueError("a size table claims more than there is")
             self.sizes = np.full(n, same, np.int64) if same else _table(data, at, end, 1, 8)[:, 0]
         elif kind == b"stz2":
             self.sizes = _half_bytes(data, at, end)
@@ -116,28 +120,98 @@ class _Track:
         elif kind == b"stss":
             self.keys = _table(data, at, end, 1)[:, 0] - 1
 
-    def result(self) -> dict:
+    def ranges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Starts and ends of all samples, the places of keyframes, and the samples' whole duration."""
         starts, ends = sample_ranges(self.sizes, self.chunks, self.runs)
         keys = np.arange(len(starts)) if self.keys is None else self.keys[(self.keys >= 0) & (self.keys < len(starts))]
-        duration = int((self.times[:, 0] * self.times[:, 1]).sum()) if len(self.times) else self.duration
+        length = int((self.times[:, 0] * self.times[:, 1]).sum()) if len(self.times) else 0
+        for first, last, key, own in self.parts:
+            keys = np.append(keys, np.flatnonzero(key) + len(starts))
+            starts, ends, length = np.append(starts, first), np.append(ends, last), length + own
+        return starts, ends, keys, length
+
+    def result(self) -> dict:
+        starts, ends, keys, length = self.ranges()
+        duration = length if len(self.times) or self.parts else self.duration
         return {
-            "codec": self.codec, "timescale": self.timescale, "duration": duration, "n_samples": len(self.sizes), "media_bytes": int(self.sizes.sum()),
+            "codec": self.codec, "timescale": self.timescale, "duration": duration, "n_samples": len(starts) if self.parts else len(self.sizes), "media_bytes": int((ends - starts).sum()) if self.parts else int(self.sizes.sum()),
             "first_byte": int(starts[0]) if len(starts) else None, "key_starts": starts[keys].tolist(), "key_ends": ends[keys].tolist(),
         }
 
 
+#: Flags of fragment boxes and of samples: fixed values of the format.
+_BASE, _DURATION, _SIZE, _FLAGS, _MOOF_BASE = 0x1, 0x8, 0x10, 0x20, 0x20000
+_RUN_OFFSET, _RUN_FIRST, _RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+_NO_KEY = 0x10000
+
+
+class _Fragments:
+    """Reads fragments into tracks: a trun's samples, with what trex and tfhd set for those that a run leaves out."""
+
+    def __init__(self, tracks: list[_Track]) -> None:
+        self.tracks, self.defaults, self.track, self.moof, self.at = tracks, {}, None, 0, 0
+
+    def read(self, kind: bytes, data: memoryview, at: int, end: int) -> None:
+        if kind == b"moof":
+            self.moof, self.at = at - 8, at - 8
+        elif kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, at + 4)
+            self.defaults[track] = (duration, size, flags)
+        elif kind == b"tfhd":
+            flags, track = struct.unpack_from(">II", data, at)
+            values, place = list(self.defaults.get(track, (0, 0, 0))), at + 8
+            if flags & _BASE:
+                self.at = struct.unpack_from(">Q", data, place)[0]
+                place += 8
+            elif flags & _MOOF_BASE:
+                self.at = self.moof
+            place += 4 * bool(flags & 2)
+            for k, bit in enumerate((_DURATION, _SIZE, _FLAGS)):
+                if flags & bit:
+                    values[k] = struct.unpack_from(">I", data, place)[0]
+                    place += 4
+            self.base, self.values = self.at, values
+            self.track = next((t for t in self.tracks if t.id == track), None)
+        elif kind == b"trun" and self.track is not None:
+            self._run(data, at, end)
+
+    def _run(self, data: memoryview, at: int, end: int) -> None:
+        flags, n = struct.unpack_from(">II", data, at)
+        flags &= 0xFFFFFF
+        place, first = at + 8, None
+        if flags & _RUN_OFFSET:
+            self.at = self.base + struct.unpack_from(">i", data, place)[0]
+            place += 4
+        if flags & _RUN_FIRST:
+            first = struct.unpack_from(">I", data, place)[0]
+            place += 4
+        columns = [bit for bit in (_RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT) if flags & bit]
+        if place + 4 * n * len(columns) > end or not flags & _RUN_SIZE and n * max(1, self.values[1]) > self.track.most:
+            raise ValueError("a fragment's run claims more than there is")
+        table = np.frombuffer(data, ">u4", n * len(columns), place).astype(np.int64).reshape(n, len(columns))
+        duration, size, own = (table[:, columns.index(bit)] if flags & bit else np.full(n, default) for bit, default in zip((_RUN_DURATION, _RUN_SIZE, _RUN_FLAGS), self.values, strict=True))
+        if first is not None and n:
+            own = np.append(first, own[1:])
+        ends = self.at + np.cumsum(size)
+        self.track.parts.append((ends - size, ends, own & _NO_KEY == 0, int(duration.sum())))
+        self.at = int(ends[-1]) if n else self.at
+
+
 def probe_bytes(media: bytes | None) -> dict:
     """brand, tracks and error of one container."""
     out: dict = {"brand": None, "tracks": [], "error": None}
     if not media:
         return out
     data, tracks = memoryview(media), []
+    fragments = _Fragments(tracks)
     try:
         for kind, _, at, end in boxes(data, 0, len(data)):
             if kind == b"ftyp":
                 out["brand"] = bytes(data[at : at + 4]).decode("latin-1")
             elif kind == b"trak":
-                tracks.append(_Track())
+                tracks.append(_Track(len(data)))
+            elif kind in (b"moof", b"trex", b"tfhd", b"trun"):
+                fragments.read(kind, data, at, end)
             elif tracks:
                 tracks[-1].read(kind, data, at, end)
     except (ValueError, struct.error, IndexError, OverflowError) as e:
@@ -195,9 +269,8 @@ def pack_bytes(payload: bytes) -> bytes:
 
 def track_bytes(media: bytes, track: int = 0) -> bytes:
     """The samples of a track, in order, as read back from the container."""
-    found = _Track()
-    seen = -1
-    data = memoryview(media)
+    data, seen = memoryview(media), -1
+    found = _Track(len(data))
     for kind, _, at, end in boxes(data, 0, len(data)):
         seen += kind == b"trak"
         if seen == track:

@@ -103,7 +103,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
         return train([], [], domains)
     place = F.pmod(F.xxhash64("id", F.lit(21)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for k, v in sorted(counts.items()) for x in (k, min(1.0, per_domain / v))])[F.col("domain")]
-    sample = known.where(place < share).limit(2 * per_domain * len(domains))
+    sample = known.where(place < share).orderBy(F.xxhash64("id", F.lit(23)), "id", "domain").limit(2 * per_domain * len(domains))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most 2 * per_domain a domain
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +210,7 @@ def mixed(
     """
     wanted = targets if targets is not None else keep_totals
     domains = sorted(wanted)
+    bound_batches(docs.sparkSession)
     members = stage(posteriors(docs, fit_classifier(docs, labelled, domains, id_col, text_col), id_col, text_col), "posteriors")
     share = np.array([float(wanted[d]) for d in domains])
     part = F.lit(1.0) if targets is not None else F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.array_position("p", F.array_max("p")).cast("int"))

@@ -49,6 +49,7 @@ def _media_digest(stored: pd.Series) -> pd.DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text in a container of its own; payload and features are read back from the container's bytes."""
+    staging.bound_batches(spark)
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     stored = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.pack_text("text").alias("media"))
     return stored.select("doc_id", "n_bytes", F.pandas_udf(_media_digest, _DIGEST)("media").alias("d")).select("doc_id", "n_bytes", "d.*")
@@ -100,10 +101,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_store.read_store(spark, path)
 
 
-def encoded_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, decoded_sha256) of documents in SentencePiece ids and back. model: the path of its file, on the driver."""
+def encoded_digest(docs: DataFrame, model: str | None = None, ids_too: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, decoded_sha256, and if asked for ids) of documents in SentencePiece ids and back. model: the path of its file, on the driver."""
     data = Path(model or public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
-    return sentencepiece_codec.encoded(docs, data).select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return sentencepiece_codec.encoded(docs, data).select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), *["ids"] * ids_too)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group, which a writing task holds in memory.
+ROW_GROUP = 16 << 20
+
 _written: dict[str, list[str]] = {}
 
 
@@ -62,7 +65,7 @@ def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     if free:
         del df  # it holds on to its shuffles
         release(spark)
@@ -75,15 +78,20 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, sorted(folders))
 
 
+def give_back() -> None:
+    """Has this process give back the memory it holds in reserve: workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run: Callable) -> Callable:
-    """run, for mapInArrow, after which the Python process gives back the memory it holds in reserve: workers live on from task to task."""
+    """run, for mapInArrow, after which give_back() is called."""
 
     def task(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every system's C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return task
 
