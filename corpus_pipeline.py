@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each on all that the one before kept.
 
-Language ID drops texts without any language; exact dedup keeps the document with the largest id of equal texts; the n-gram Jaccard join
+Language ID drops texts without any language and those whose best language is hardly likelier than others, and fills in unknown languages; exact dedup keeps the document with the largest id of equal texts; the n-gram Jaccard join
 keeps the least id of each group of near duplicates; mixing drops documents whose fitted rate rounds to 0, with targets that are the expected
 tokens of the documents most probably of high or low quality, without those most probably toxic; SentencePiece encodes what is left, and decodes it again.
 
@@ -17,15 +17,19 @@ from pyspark.sql import functions as F
 from quire.llm import exact_dedup, jaccard_join, language_id, mixing, staging
 from quire.llm.queries import encoded_digest, labelled_domains
 
+#: A text's language must be so many times as likely as if all were alike.
+LIKELIER = 1.5
 #: Parts of the domains' documents whose expected tokens the mix keeps.
 KEPT = {"high": 1.0, "low": 1.0, "toxic": 0.0}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages; null texts and texts without letters go."""
+    """Documents in one of the labelled languages: null texts, texts without letters and those that the network can't place go; a null lang becomes the predicted one."""
     model = language_id.fit(docs)
     mark = "__lang"
-    return docs.withColumn(mark, language_id.predicted(model, "text")).where(F.col(f"{mark}.lang") != language_id.UNKNOWN).drop(mark)
+    least = min(0.5, LIKELIER / len(model.labels)) if model else 0.0
+    found = docs.withColumn(mark, language_id.predicted(model, "text")).where((F.col(f"{mark}.lang") != language_id.UNKNOWN) & (F.col(f"{mark}.score") >= least))
+    return found.withColumn("lang", F.coalesce("lang", f"{mark}.lang")).drop(mark)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +50,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the texts in digest, and the digest of the texts decoded from them."""
-    return encoded_digest(docs)
+    """Ids of the texts, and the digests of these and of the texts decoded from them."""
+    return encoded_digest(docs, ids_too=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
