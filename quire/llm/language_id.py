@@ -177,7 +177,8 @@ def predicted(model: ByteCNN | None, text: str | Column) -> Column:
         best = p.argmax(axis=1)
         return pd.DataFrame({"lang": np.array(model.labels, object)[best], "score": np.clip(p[np.arange(len(p)), best], 0, 1)})
 
-    return F.when(F.coalesce(text, F.lit("")).rlike(r"\p{L}"), run(text)).otherwise(nothing)
+    once = run.asNondeterministic()  # else a filter on the result would run it a second time
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"\p{L}"), once(text)).otherwise(nothing)
 
 
 def detect(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
