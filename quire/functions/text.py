@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +105,85 @@ def is_private_ip(host: Column) -> Column:
     """Private, shared, loopback and link-local addresses of both kinds."""
     v4 = r"(?:0|10|127)\.\d+\.\d+\.\d+|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.\d+\.\d+|169\.254\.\d+\.\d+|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+|192\.168\.\d+\.\d+"
     return F.lower(host).rlike(rf"^(?:(?:::ffff:)?(?:{v4})|::1?|f[cd][0-9a-f]{{2}}:.*|fe[89ab][0-9a-f]:.*)$")
+
+
+#: Private-use characters of symbol fonts, from U+F020 on, and what they show (fixed values).
+SYMBOLS = {
+    0xF06C: "●", 0xF06D: "●", 0xF06E: "■", 0xF06F: "□", 0xF070: "□", 0xF071: "□", 0xF072: "□", 0xF073: "⬧", 0xF074: "⧫", 0xF075: "◆", 0xF076: "❖", 0xF077: "⬥",
+    0xF09E: "·", 0xF09F: "•", 0xF0A0: "·", 0xF0A1: "⚪", 0xF0A2: "○", 0xF0A3: "○", 0xF0A4: "◉", 0xF0A5: "◎", 0xF0A7: "▪", 0xF0A8: "◻", 0xF0AA: "✦", 0xF0AB: "★",
+    0xF0AC: "✶", 0xF0AD: "✴", 0xF0AE: "✹", 0xF045: "☜", 0xF046: "☞", 0xF047: "☝", 0xF048: "☟", 0xF0FB: "✗", 0xF0FC: "✔", 0xF0FD: "☒", 0xF0FE: "☑", 0xF0E8: "➔",
+    0xF0EF: "⇦", 0xF0F0: "⇨", 0xF0F1: "⇧", 0xF0F2: "⇩", 0xF022: "✂", 0xF036: "⌛", 0xF04A: "☺", 0xF04E: "☠", 0xF052: "☼", 0xF054: "❄", 0xF058: "✠", 0xF059: "✡",
+}
+#: The same for the supplementary plane (fixed values); U+F02B1 to U+F02C4 are the boxed numbers 1 to 20.
+SUPPLEMENTARY = {
+    0xF003B: "↓", 0xF02EF: "·", 0xF0854: "《", 0xF0855: "》", 0xF00DA: "▸", 0xF080F: "━", 0xF0827: "■", 0xF03C5: "□", 0xF012B: "(인)", 0xF02FC: "►", 0xF031C: "■", 0xF03A0: "↵",
+    0xF03EF: "한", 0xF03F0: "글", 0xF03F1: "과", 0xF03F2: "컴", 0xF03F3: "퓨", 0xF03F4: "터",
+}
+BOXED = 0xF02B1
+
+
+def map_private(text: Column) -> Column:
+    """Private-use characters as the standard ones they show; those not known stay. Null stays null."""
+    shown = SYMBOLS | SUPPLEMENTARY | {BOXED + i: chr(0x2460 + i) for i in range(20)}
+    single = {k: v for k, v in shown.items() if len(v) == 1}
+    text = F.translate(text, "".join(map(chr, single)), "".join(single.values()))
+    for code, value in shown.items():
+        if code not in single:
+            text = F.replace(text, F.lit(chr(code)), F.lit(value))
+    return text
+
+
+#: How an item's marker begins a line, and a line that is nothing but an article's header (fixed patterns).
+MARKER = r"^(?:[가-힣ㄱ-ㅎ][.)]|\d+[.)]|\([가-힣ㄱ-ㅎ\d]+\)|[○●※▶▷◆◇■□★☆\-·]\s|제\d+[조항호장절])"
+HEADER = r"^제\d+[조항호장절](?:\([^)]*\))?(?:\s+\S+){0,7}$"
+_BLANKS = " \t\n\v\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def starts_with_marker(line: Column) -> Column:
+    """Whether a line begins with an item's marker."""
+    return F.regexp_replace(line, f"^{WHITE}+", "").rlike(MARKER)
+
+
+def is_standalone_header(line: Column) -> Column:
+    """Whether a line is an article's header with a few words at most."""
+    return trim(line).rlike(HEADER)
+
+
+def _joint(before: str, line: str) -> str | None:
+    """What joins a line to the text before it; None where a new line begins."""
+    bare = line.strip(_BLANKS)
+    if _HEADING.match(before) or _HEADING.match(line) or bare.startswith(("|", "---")):
+        return None
+    if bare and before.strip(_BLANKS).endswith(","):
+        return "\n" + line
+    if bare.startswith("(※"):
+        return " " + bare
+    broken = _BROKEN_END.search(before) and _BROKEN_START.match(line)
+    marked = any(_MARKED.match(x.lstrip(_BLANKS)) for x in (before, line))
+    return " " + line if broken and not marked and not _HEADED.match(before.strip(_BLANKS)) else None
+
+
+_HEADING, _BROKEN_END, _BROKEN_START = re.compile(r"#{1,6}\s"), re.compile(r"[가-힣·,\-]\Z"), re.compile(r"[가-힣(]")
+_MARKED, _HEADED = re.compile(MARKER), re.compile(HEADER.replace("$", r"\Z"))
+
+
+def merge_lines(text: str | Column) -> Column:
+    """Lines that were broken within a sentence, joined: Hangul to Hangul by a blank, after a comma as they are; headings, tables, rules and marked items stay. A fold, as each line looks at what is joined so far."""
+
+    def merged(text: str | None) -> str | None:
+        if text is None:
+            return None
+        first, *rest = text.split("\n")
+        out = [first]
+        for line in rest:
+            if (joint := _joint(out[-1], line)) is None:
+                out.append(line)
+            else:
+                out[-1] += joint
+        return "\n".join(out)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(merged)
+
+    return run(text)

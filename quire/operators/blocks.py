@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import trim
+from quire.functions.text import length16, trim
 
 _HTML = r"(?is)<(h[1-6]|p|li)\b[^>]*>(.*?)</\1\s*>"
 
@@ -157,3 +157,21 @@ def list_chains(blocks: DataFrame, most_gap: int = 20) -> DataFrame:
     rows = rows.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("__chain", F.sum("__new").over(own))
     members = Window.partitionBy("doc_id", "__reset", "family", "__chain")
     return rows.withColumn("__n", F.count(F.lit(1)).over(members)).withColumn("chain", F.min("block_id").over(members)).where("__n >= 2").drop("__reset", "__new", "__chain", "__n")
+
+
+def marker_headings(blocks: DataFrame) -> DataFrame:
+    """blocks with font_size, of which short paragraphs that begin with a square or similar become headings of level 4, and lone Hangul words of 2 to 6 syllables next to tables, headings, separators or an end of the document headings of level 3.
+
+    A word also counts as next to a heading if the word before it has become one, so that a run of words follows its first one that does.
+    """
+    order = Window.partitionBy("doc_id").orderBy("block_id")
+    bare, plain = trim(F.col("text")), (F.col("type") == "paragraph") & (F.col("text") != "")
+    rows = blocks.withColumn("__marked", F.coalesce(plain & (length16(bare) < 50) & bare.rlike(r"^[□■◆◇▶]\s*[가-힣]"), F.lit(False)))
+    rows = rows.withColumn("__word", F.coalesce(plain & ~F.col("__marked") & bare.rlike(r"^[가-힣]{2,6}$") & (F.col("font_size") != 0), F.lit(False)))
+    rows = rows.withColumn("__kind", F.when(F.col("__marked"), "heading").otherwise(F.col("type"))).withColumn("__opens", F.coalesce(plain & bare.rlike("^[□■◆○●]"), F.lit(False)))
+    before, after = F.lag("__kind").over(order), F.lead("type").over(order)
+    near = before.isNull() | before.isin("table", "heading", "separator") | after.isNull() | after.isin("table", "heading") | F.lead("__opens").over(order)
+    rows = rows.withColumn("__near", F.col("__word") & near).withColumn("__run", F.sum(F.when(F.col("__word"), 0).otherwise(1)).over(order))
+    titled = F.col("__word") & F.max("__near").over(Window.partitionBy("doc_id", "__run").orderBy("block_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("level", F.when(F.col("__marked"), 4).when(titled, 3).otherwise(F.col("level")))
+    return rows.withColumn("type", F.when(F.col("__marked") | titled, "heading").otherwise(F.col("type"))).drop("__marked", "__word", "__kind", "__opens", "__near", "__run")

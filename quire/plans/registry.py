@@ -464,3 +464,61 @@ def generated_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def false_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of nations have headed columns: none is taken for a box of text."""
     return structure.false_tables(tables.build_grid(_nation_cells(spark, sf_dir), ["table_id"]), ["table_id"])
+
+
+#: Letters a to z as Hangul syllables, so that rules for Hangul meet whole documents.
+_LETTERS, _HANGUL = "abcdefghijklmnopqrstuvwxyz", "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+_HANGUL_SQL = f"translate(lower(coalesce(text, '')), '{_LETTERS}', '{_HANGUL}')"
+
+
+def _hangul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower(F.coalesce("text", F.lit(""))), _LETTERS, _HANGUL).alias("text"))
+
+
+@_query("SELECT doc_id, replace(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvw', '●■□⬧⧫◆❖⬥·•⚪○☜✔☑➔✂✡↓①⑳한' || chr(61472)), 'x', '(인)') AS shown FROM documents")
+def private_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose letters are private-use characters, w an unknown one."""
+    codes = [0xF06C, 0xF06E, 0xF06F, 0xF073, 0xF074, 0xF075, 0xF076, 0xF077, 0xF09E, 0xF09F, 0xF0A1, 0xF0A2, 0xF045, 0xF0FC, 0xF0FE, 0xF0E8, 0xF022, 0xF059, 0xF003B, 0xF02B1, 0xF02C4, 0xF03EF, 0xF020, 0xF012B]
+    private = F.translate(F.coalesce("text", F.lit("")), _LETTERS[: len(codes)], "".join(map(chr, codes)))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.map_private(private).alias("shown"))
+
+
+_TRIMMED = lambda x: f"regexp_replace({x}, '{_TRIM}', '', 'g')"
+_PREV, _MARK = "split_part(acc, chr(1), -1)", text.MARKER
+_MERGE_SQL = rf"""
+SELECT doc_id, replace(list_reduce(string_split(x, chr(10)), lambda acc, l: CASE
+  WHEN regexp_matches({_PREV}, '^#{{1,6}}\s') OR regexp_matches(l, '^#{{1,6}}\s') OR regexp_matches({_TRIMMED("l")}, '^([|]|---)') THEN acc || chr(1) || l
+  WHEN ends_with({_TRIMMED(_PREV)}, ',') AND {_TRIMMED("l")} <> '' THEN acc || chr(10) || l
+  WHEN starts_with({_TRIMMED("l")}, '(※') THEN acc || ' ' || {_TRIMMED("l")}
+  WHEN regexp_matches({_PREV}, '[가-힣·,\-]\z') AND regexp_matches(l, '^[가-힣(]') AND NOT regexp_matches({_TRIMMED("l")}, '{_MARK}') AND NOT regexp_matches({_TRIMMED(_PREV)}, '{text.HEADER}') AND NOT regexp_matches({_TRIMMED(_PREV)}, '{_MARK}')
+    THEN acc || ' ' || l
+  ELSE acc || chr(1) || l END), chr(1), chr(10)) AS merged
+FROM (SELECT doc_id, {_HANGUL_SQL} AS x FROM documents)
+"""
+
+
+@_query(_MERGE_SQL)
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in Hangul, their broken lines joined."""
+    return _hangul(spark, sf_dir).select("doc_id", text.merge_lines("text").alias("merged"))
+
+
+_MARKED_SQL = rf"""
+WITH b AS (SELECT doc_id, block_id, CASE block_id % 7 WHEN 3 THEN 'table' WHEN 5 THEN 'separator' ELSE 'paragraph' END AS type,
+  CASE WHEN block_id % 4 = 1 THEN '□ ' || translate(lower(text), '{_LETTERS}', '{_HANGUL}') ELSE left(translate(lower(text), '{_LETTERS}', '{_HANGUL}'), 4) END AS t FROM ({_BLOCKS_SQL})),
+k AS (SELECT *, {_TRIMMED("t")} AS x, type = 'paragraph' AND t <> '' AS plain FROM b),
+m AS (SELECT *, plain AND length(x) < 50 AND regexp_matches(x, '^[□■◆◇▶]\s*[가-힣]') AS marked FROM k),
+w AS (SELECT *, plain AND NOT marked AND regexp_matches(x, '^[가-힣]{{2,6}}$') AS word, CASE WHEN marked THEN 'heading' ELSE type END AS kind FROM m),
+n AS (SELECT *, lag(kind) OVER o AS p, lead(type) OVER o AS q, coalesce(lead(plain AND regexp_matches(x, '^[□■◆○●]')) OVER o, false) AS opens, sum((NOT word)::INT) OVER o AS run FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY block_id)),
+f AS (SELECT *, word AND (p IS NULL OR p IN ('table', 'heading', 'separator') OR q IS NULL OR q IN ('table', 'heading') OR opens) AS near FROM n)
+SELECT doc_id, block_id::INT AS block_id, CASE WHEN marked THEN 4 WHEN word AND bool_or(near) OVER (PARTITION BY doc_id, run ORDER BY block_id) THEN 3 ELSE 0 END::INT AS level FROM f
+"""
+
+
+@_query(_MARKED_SQL)
+def marked_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of whole documents in Hangul, some of them marked, cut to a word, or made tables and separators."""
+    own = blocks.paragraph_blocks(_table(spark, sf_dir, "documents"))
+    kind, hangul = F.col("block_id") % 7, F.translate(F.lower("text"), _LETTERS, _HANGUL)
+    own = own.withColumn("type", F.when(kind == 3, "table").when(kind == 5, "separator").otherwise("paragraph")).withColumn("text", F.when(F.col("block_id") % 4 == 1, F.concat(F.lit("□ "), hangul)).otherwise(F.left(hangul, F.lit(4))))
+    return blocks.marker_headings(own.withColumn("font_size", F.lit(10.0))).select("doc_id", "block_id", F.coalesce("level", F.lit(0)).alias("level"))
