@@ -61,9 +61,27 @@ def _depth(indent: str, stack: list[int]) -> int:
     return len(stack) - 1
 
 
+#: Closes a displayed formula, unless it is escaped.
+_CLOSING = re.compile(r"(?<!\\)\$\$")
+
+
+def _displayed(lines: list[str], i: int) -> tuple[str, str, int] | None:
+    """The formula that opens in line i, what follows its closing mark, and the line of that; None if a blank line, a fence or the end comes first."""
+    parts: list[str] = []
+    for k in range(i, len(lines)):
+        own = lines[k] if k > i else lines[k].lstrip()[2:]
+        if k > i and (not own.strip() or re.match(r"\s*(?:`{3,}|~{3,})", own)):
+            return None
+        if end := _CLOSING.search(own):
+            parts.append(own[: end.start()])
+            return "\n".join(x.rstrip() for x in parts if x.strip()).strip(), own[end.end() :].strip(), k
+        parts.append(own)
+    return None
+
+
 def parse_blocks(text: str | None) -> list[dict]:
     """Headings, paragraphs, lists, quotes, rules, code, formulas and tables (pipes or HTML) of a markdown text, line by line."""
-    lines, out, para, stack, i = re.split(r"\r?\n", text or ""), [], [], [], 0
+    lines, out, para, stack, i = re.split(r"\r\n?|\n", text or ""), [], [], [], 0
 
     def add(kind: str, body: str | None, level: int | None = None, depth: int | None = None, ordered: bool | None = None, lang: str | None = None) -> None:
         out.append({"block_id": len(out), "type": kind, "text": body, "level": level, "list_depth": depth, "ordered": ordered, "lang": lang})
@@ -84,13 +102,13 @@ def parse_blocks(text: str | None) -> list[dict]:
             end = upto(re.compile(rf" {{0,3}}{re.escape(fence[1][0])}{{{len(fence[1])},}}\s*"), i + 1)
             add("code_block", "\n".join(lines[i + 1 : end]), lang=fence[2] or None)
             i = end
-        elif bare.startswith("$$"):
+        elif bare.startswith("$$") and (shown := _displayed(lines, i)):
             close()
-            whole = bare[2:]
-            while not whole.endswith("$$") and i + 1 < len(lines):
-                i += 1
-                whole += "\n" + lines[i].rstrip()
-            add("equation", whole.removesuffix("$$").strip())
+            formula, rest, i = shown
+            if formula:
+                add("equation", formula)
+            if rest:
+                add("paragraph", rest)
         elif m := re.fullmatch(r" {0,3}(#{1,6})\s+(.*?)(?:\s+#+)?\s*", line):
             close()
             stack.clear()

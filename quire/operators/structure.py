@@ -17,8 +17,8 @@ from quire.operators.compare import _common, text_similarity
 #: Caption labels, and the longest caption (fixed values).
 _CAPTION = re.compile(r"[<\[(【〈]?\s*(?:표|그림|도표|Table|Figure|Fig\.?)\s*[0-9①-⑮][0-9.\-]*\s*[\])】〉>]?[.:]?\s*", re.I)
 MOST_CAPTION = 100
-#: Words that begin a key-value line (fixed values, the common ones).
-KEY_WORDS = ("구분", "항목", "종류", "분류", "유형", "대상", "내용", "기간", "금액", "비율", "방법", "절차", "요건", "조건", "근거", "목적")
+#: Words that begin a key-value line (fixed values).
+KEY_WORDS = ("구분", "항목", "종류", "분류", "유형", "대상", "내용", "기간", "금액", "비율", "방법", "절차", "요건", "조건", "근거", "목적", "범위", "기준")
 _NOT_PAIR = re.compile(r"[0-9]{1,2}:[0-9]{2}|://|[0-9]+:[0-9]+|[()]")
 
 CAPTIONED = "doc_id long, block_id int, type string, text string, page_number int, caption string"

@@ -6,11 +6,13 @@ Blocks: (block_id, type, text, level, page_number); a table's cells: (block_id,
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from io import BytesIO
 from xml.etree import ElementTree
 
@@ -120,11 +122,15 @@ def zip_format(content: bytes) -> str:
 
 
 def clean_number(raw: str) -> str:
-    """A decimal literal with 15 significant digits at most."""
-    if not re.fullmatch(r"-?\d+\.\d+", raw):
+    """A decimal literal with 15 significant digits at most: without an exponent from 1e-6 on up to 1e21, and no sign before 0."""
+    if not re.fullmatch(r"-?[0-9]+\.[0-9]+", raw) or math.isinf(float(raw)):
         return raw
-    short = f"{float(raw):.15g}"
-    return re.sub(r"e([+-])0*(\d)", r"e\1\2", short)
+    value = float(f"{float(raw):.15g}")
+    if value == 0 or 1e-6 <= abs(value) < 1e21:
+        plain = format(Decimal(repr(abs(value))), "f")
+        return "-" * (value < 0) + (plain.rstrip("0").rstrip(".") if "." in plain else plain)
+    digits, exponent = repr(value).split("e")
+    return f"{digits.removesuffix('.0')}e{int(exponent):+d}"
 
 
 def date_kind(code: str) -> str | None:

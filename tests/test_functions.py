@@ -64,3 +64,29 @@ def test_text(spark):
     assert one(spark, text.sanitize_href(F.lit("javascript:x"))) is None
     assert [one(spark, text.is_private_ip(F.lit(x))) for x in ("10.1.2.3", "172.32.0.1", "::1", "fd00::1", "8.8.8.8", "100.64.0.1")] == [True, False, True, True, False, True]
     assert [one(spark, text.contains_inline_math(F.lit(x))) for x in ("값 $x+1$", "예산 $5", "\\$a$")] == [True, False, False]
+
+
+def test_numbers_are_written_as_in_the_format():
+    from quire.sources.office import clean_number
+
+    cases = {"0.00001": "0.00001", "1234567890123456.5": "1234567890123460", "-0.0": "0", "0.30000000000000004": "0.3", "0.0000001": "1e-7", "100.0": "100", "-2.50": "-2.5", "7": "7"}
+    assert {x: clean_number(x) for x in cases} == cases
+
+
+def test_private_characters_and_lines(spark):
+    from quire.functions import text
+
+    rows = [("\U000f012b\U000f02b1\U000f0001",), (None,), ("",), ("가나\n다라",), ("가나,\nx",), ("# 가\n나",), ("제1조 목적\n가나",), ("1. 가\n나",), ("가\n(※ 나)",), ("가나\n| 다",)]
+    df = spark.createDataFrame(rows, "text string")
+    got = [tuple(r) for r in df.select(text.map_private(df["text"]), text.merge_lines(df["text"])).collect()]
+    assert got[0][0] == "●(인)①\U000f0001" and got[1] == (None, None)
+    assert [r[1] for r in got[2:]] == ["", "가나 다라", "가나,\nx", "# 가\n나", "제1조 목적\n가나", "1. 가\n나", "가 (※ 나)", "가나\n| 다"]
+
+
+def test_displayed_formulas_end():
+    from quire.operators.markdown import parse_blocks
+
+    kinds = lambda x: [(b["type"], b["text"]) for b in parse_blocks(x)]
+    assert kinds("$$\nx\n\n# h\ntext") == [("paragraph", "$$ x"), ("heading", "h"), ("paragraph", "text")]
+    assert kinds("$$x$$ tail") == [("equation", "x"), ("paragraph", "tail")]
+    assert kinds("a\r\r$$a\nb$$\nz") == [("paragraph", "a"), ("equation", "a\nb"), ("paragraph", "z")]
