@@ -62,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encode),
 ]
 
-#: Trained models and tokenizers are beyond SQL; tests compare the stages with plain versions.
+#: Trained models and tokenizers are beyond SQL; the stages' operators are tested against SQL or plain versions, the stages for what they keep.
 ORACLE_SQL: str | None = None
 
 
