@@ -1,6 +1,36 @@
+from collections import Counter
+
 import corpus_pipeline
 from quire.llm import language_id, staging
 
+SF = "/root/testdata/sf0.001"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def test_pipeline(spark):
+    """Every stage ran, none lost what it should keep, and texts come back from their ids."""
+    rows = corpus_pipeline.run(spark, SF).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "source_mixing", "sentencepiece"]
+    assert 0 < len(rows) <= len(docs) and len({r.doc_id for r in rows}) == len(rows)
+    assert all(r.n_pieces * 4 == len(r.ids) for r in rows)
+
+
+def test_early_stages_on_odd_rows(spark):
+    """Null ids, texts and languages, blanks, digits, equal texts, and columns with clashing names; an empty table stays empty."""
+    text = "The quick brown fox jumps over the lazy dog, again and again, until the evening comes."
+    rows = [(1, text, "en", "x", 5, "a"), (2, text.upper(), "en", "x", 5, "b"), (3, None, "en", "x", 0, "c"), (4, "", None, None, 0, None), (5, "12 $$ 3", "en", "x", 3, "d")]
+    rows += [(6, "Der schnelle braune Fuchs springt über den faulen Hund, immer wieder, bis der Abend kommt.", "de", "x", 9, "e"), (None, text + " No id.", None, "y", 1, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sid string").selectExpr("*", "'m' as `__repeated_x`", "1 as kept")
+    found = STAGES["language_id"](spark, docs, SF)
+    assert found.columns == docs.columns
+    got = found.collect()
+    assert Counter(r.doc_id for r in got) == Counter([1, 2, 6, None]) and all(r.lang in ("en", "de") for r in got)
+    alone = STAGES["exact_dedup"](spark, found, SF)
+    assert alone.columns == docs.columns and Counter(r.doc_id for r in alone.collect()) == Counter([2, 6, None])
+    for name in ("language_id", "exact_dedup"):
+        assert STAGES[name](spark, docs.limit(0), SF).count() == 0
+
 
 def test_stages(spark, docs, tmp_path):
     spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
