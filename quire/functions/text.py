@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -187,3 +188,30 @@ def merge_lines(text: str | Column) -> Column:
         return texts.map(merged)
 
     return run(text)
+
+
+#: Lengths of repeated spans, how often one occurs and what share of the text it fills (fixed values).
+SPAN_LENGTHS, REPEATS, FILLED = range(5, 16), 3, 0.6
+
+
+def repeats_much(text: str | None) -> bool:
+    """Whether spans of one kind, overlaps counted, with a Latin letter in them fill most of a text."""
+    n = len(text or "")
+    for size in SPAN_LENGTHS:
+        if REPEATS * size > n:
+            break
+        often = max(REPEATS, FILLED * n / size)
+        counts = Counter(text[i : i + size] for i in range(n - size + 1))
+        if any(k >= often and k * size / n >= FILLED and re.search("[a-zA-Z]", span) for span, k in counts.items()):
+            return True
+    return False
+
+
+def high_repetition(text: str | Column) -> Column:
+    """repeats_much() as a column; false for nulls."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(repeats_much).astype(bool)
+
+    return run(text)

@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-#: Deepest recursion of cuts; how much wider a vertical gap must be to be cut first; share of the width from which an item spans the layout (fixed values).
-MOST_DEPTH, PREFER, SPANNING = 50, 1.5, 0.8
+from quire.operators.folding import folded
+
+#: Deepest recursion of cuts; how much wider a vertical gap must be to be cut first; how far items may lie beyond the page, as a share of its longer side; how much items of a line differ in y (fixed values).
+MOST_DEPTH, PREFER, BEYOND, SAME_LINE = 50, 1.5, 0.1, 3.0
 
 
 def _gap(starts: np.ndarray, ends: np.ndarray) -> tuple[float, float]:
@@ -51,6 +55,29 @@ def reading_order(items: DataFrame, least_gap: float = 1.0) -> DataFrame:
     return items.drop("read_no").groupBy("doc_id", "page").applyInPandas(fold, f"{fields}, read_no int")
 
 
+def visible_items(items: DataFrame) -> DataFrame:
+    """Items that a reader of the page (page_w, page_h) sees: not those without height, those with text but no width, and those a tenth of the page or more outside. Nulls hide nothing."""
+    far = F.greatest("page_w", "page_h") * BEYOND
+    hidden = (F.col("h") == 0) | ((F.col("w") == 0) & F.col("text").rlike(r"\S"))
+    outside = (F.col("x") < -far) | (F.col("x") > F.col("page_w") + far) | (F.col("y") < -far) | (F.col("y") > F.col("page_h") + far)
+    return items.where(~F.coalesce(hidden, F.lit(False)) & ~F.coalesce(outside, F.lit(False)))
+
+
+def line_numbers(items: DataFrame, tolerance: float = SAME_LINE) -> DataFrame:
+    """items with line_no: in order of item_id on a page, an item further than the tolerance from its line's first item begins a line. Items without y stay in the line."""
+
+    def step(state: dict, y: float | None) -> int:
+        if "y" not in state:
+            state["line"], state["y"] = 0, y
+        elif state["y"] is None:
+            state["y"] = y
+        elif y is not None and abs(y - state["y"]) > tolerance:
+            state["line"], state["y"] = state["line"] + 1, y
+        return state["line"]
+
+    return folded(items, ["doc_id", "page"], ["item_id"], ["y"], dict, step, "line_no", IntegerType(), pa.int32())
+
+
 def clusters(values: np.ndarray, tolerance: float) -> np.ndarray:
     """A cluster number for each value: in rising order, a value joins the last cluster when it is within the tolerance of its mean."""
     out, total, count, k = np.zeros(len(values), np.int64), 0.0, 0, -1

@@ -5,6 +5,11 @@ Cells are rows (keys..., r, c, text, col_span, row_span). The grid's limits are
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +91,77 @@ def parse_markdown_rows(tables: DataFrame, keys: list[str], markdown: str = "mar
     return numbered.select(*keys, "r", F.posexplode("cells").alias("c", "text"))
 
 
+class _HtmlRows(HTMLParser):
+    """The rows of the outermost table: lists of (text, col_span, row_span); what lies in inner tables stays as source."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[list[tuple[str, int, int]]] = []
+        self.depth, self.broken, self.row, self.span, self.parts = 0, False, None, None, []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.depth += tag == "table"
+        if self.depth > 1:
+            self.parts.append(self.get_starttag_text())
+        elif self.depth == 1 and tag == "tr":
+            self.row = []
+        elif self.depth == 1 and tag in ("td", "th"):
+            named = dict(attrs)
+            self.span, self.parts = (_span(named.get("colspan"), MOST_COLS), _span(named.get("rowspan"), MOST_ROWS)), []
+        elif self.depth == 1 and tag == "br":
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.depth > 1:
+            self.parts.append(f"</{tag}>")
+        elif self.depth == 1 and tag == "tr" and self.row is not None:
+            self.rows.append(self.row)
+            self.row = None
+        elif self.depth == 1 and tag in ("td", "th") and self.span and self.row is not None:
+            self.row.append(("".join(self.parts).strip(), *self.span))
+            self.span = None
+        self.depth -= tag == "table"
+        self.broken |= self.depth < 0
+
+    def handle_data(self, data: str) -> None:
+        self.parts.append(html.escape(data, quote=False) if self.depth > 1 else data)
+
+
+def _span(value: str | None, most: int) -> int:
+    return max(1, min(int(value), most)) if value and value.isascii() and value.isdigit() else 1
+
+
+def html_cells(source: str | None) -> Iterator[tuple[int, int, str, int, int]]:
+    """(r, c, text, col_span, row_span) of an HTML table; nothing where its tags don't pair up."""
+    parser = _HtmlRows()
+    parser.feed(source or "")
+    parser.close()
+    if parser.broken or parser.depth:
+        return
+    free_from: dict[int, int] = {}
+    for r, row in enumerate(parser.rows[:MOST_ROWS]):
+        c = 0
+        for text, wide, tall in row:
+            while free_from.get(c, 0) > r:
+                c += 1
+            yield r, c, text, wide, tall
+            free_from.update(dict.fromkeys(range(c, c + wide), r + tall))
+            c += wide
+
+
+def parse_html_cells(tables: DataFrame, keys: list[str], source: str = "markdown") -> DataFrame:
+    """Addressed cells (keys, r, c, text, col_span, row_span) of HTML tables: spans push later cells on, <br> ends a line, other tags go, inner tables stay as source.
+
+    Null and empty texts and tables whose tags don't pair up give no cells.
+    """
+
+    @F.pandas_udf("array<struct<r:int,c:int,text:string,col_span:int,row_span:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("r", "c", "text", "col_span", "row_span"), cell, strict=True)) for cell in html_cells(x)] for x in texts], dtype=object)
+
+    return tables.select(*keys, F.explode(run(F.col(source))).alias("__cell")).select(*keys, "__cell.*")
+
+
 def cell_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, r, c, type, before, after) by place: added, removed, modified or unchanged."""
     a, b = before.select(*keys, "r", "c", F.col("text").alias("before")), after.select(*keys, "r", "c", F.col("text").alias("after"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import fields, numbers, sniff, text
-from quire.operators import blocks, chunks, compare, forms, geometry, layout, lint, markdown, quality, redact, structure, style, tables
+from quire.operators import blocks, chunks, compare, forms, geometry, layout, lint, markdown, numbering as paragraph_numbering, quality, redact, structure, style, tables
 from quire.plans import fixtures as fx
 from quire.sources import hwpx_write, office
 
@@ -522,3 +522,61 @@ def marked_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, hangul = F.col("block_id") % 7, F.translate(F.lower("text"), _LETTERS, _HANGUL)
     own = own.withColumn("type", F.when(kind == 3, "table").when(kind == 5, "separator").otherwise("paragraph")).withColumn("text", F.when(F.col("block_id") % 4 == 1, F.concat(F.lit("□ "), hangul)).otherwise(F.left(hangul, F.lit(4))))
     return blocks.marker_headings(own.withColumn("font_size", F.lit(10.0))).select("doc_id", "block_id", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+_ORDERED_SQL = "SELECT o_custkey::BIGINT AS doc_id, o_orderkey::BIGINT AS item_id, o_orderpriority, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS k FROM orders"
+
+
+def _ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each customer, numbered from 0."""
+    return _table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_custkey as long) as doc_id", "cast(o_orderkey as long) as item_id", "o_orderpriority", "cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as int) as k"
+    )
+
+
+@_query(f"""SELECT doc_id, 0 AS r, 0 AS c, 'orders' AS text, 2 AS col_span, 1 AS row_span FROM orders_of GROUP BY doc_id
+UNION ALL SELECT doc_id, k + 1, 0, '<' || item_id || '> & "' || k || '"', 1, 1 FROM orders_of UNION ALL SELECT doc_id, k + 1, 1, o_orderpriority || chr(10) || k, 1, 1 FROM orders_of""".replace("orders_of", f"({_ORDERED_SQL})"))
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a merged head for each customer, written as HTML and read back."""
+    o = _ordered_items(spark, sf_dir)
+    texts = F.array(F.format_string('<%d> & "%d"', "item_id", "k"), F.concat("o_orderpriority", F.lit("\n"), F.col("k").cast("string")))
+    body = o.select("doc_id", (F.col("k") + 1).alias("r"), F.posexplode(texts).alias("c", "text")).select("*", F.lit(1).alias("col_span"), F.lit(1).alias("row_span"))
+    head = o.select("doc_id").distinct().selectExpr("doc_id", "0 as r", "0 as c", "'orders' as text", "2 as col_span", "1 as row_span")
+    return tables.parse_html_cells(tables.to_markdown(tables.build_grid(body.unionByName(head), ["doc_id"]), ["doc_id"]), ["doc_id"])
+
+
+@_query(f"""WITH o AS ({_ORDERED_SQL}), l AS (SELECT *, (item_id % 4)::INT AS level FROM o),
+g AS (SELECT *, sum((level < 1)::INT) OVER w AS g1, sum((level < 2)::INT) OVER w AS g2, sum((level < 3)::INT) OVER w AS g3 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, item_id, concat_ws('.', sum((level = 0)::INT) OVER (PARTITION BY doc_id ORDER BY k), sum((level = 1)::INT) OVER (PARTITION BY doc_id, g1 ORDER BY k),
+sum((level = 2)::INT) OVER (PARTITION BY doc_id, g2 ORDER BY k), sum((level = 3)::INT) OVER (PARTITION BY doc_id, g3 ORDER BY k), 0, 0, 0) AS counters FROM g""")
+def paragraph_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = _ordered_items(spark, sf_dir).select("doc_id", "item_id", "k", F.lit(1).alias("numbering"), (F.col("item_id") % 4).cast("int").alias("level"))
+    counted = paragraph_numbering.paragraph_counters(levels, ["doc_id"], ["k"])
+    return counted.select("doc_id", "item_id", F.array_join(F.col("counters").cast("array<string>"), ".").alias("counters"))
+
+
+@_query(f"SELECT doc_id, item_id, k // 2 AS line_no FROM ({_ORDERED_SQL})")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two items a line, their heights out of line by up to 2."""
+    items = _ordered_items(spark, sf_dir).selectExpr("doc_id", "1 as page", "item_id", "cast(700 - 10 * floor(k / 2) - item_id % 3 as double) as y")
+    return geometry.line_numbers(items).select("doc_id", "item_id", "line_no")
+
+
+@_query("""SELECT o_orderkey::BIGINT AS item_id FROM (SELECT o_orderkey, o_orderkey % 13 * 100 - 200 AS x, o_orderkey % 11 * 100 - 100 AS y FROM orders)
+WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND x BETWEEN -80 AND 680 AND y BETWEEN -80 AND 880""")
+def visible_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items on pages of 600 by 800; every seventh has no height, every fifth no width."""
+    items = _table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_orderkey as long) as item_id", "o_orderpriority as text", "cast(o_orderkey % 13 * 100 - 200 as double) as x", "cast(o_orderkey % 11 * 100 - 100 as double) as y",
+        "if(o_orderkey % 5 = 0, 0d, 50d) as w", "if(o_orderkey % 7 = 0, 0d, 10d) as h", "600d as page_w", "800d as page_h",
+    )
+    return geometry.visible_items(items).select("item_id")
+
+
+@_query("""WITH t AS (SELECT p_partkey::BIGINT AS p_partkey, repeat(substr(p_name, 1, (1 + p_partkey % 9)::INT), (1 + p_partkey % 8)::INT) || p_type AS t FROM part),
+l AS (SELECT p_partkey, t, unnest(range(5, 16))::INT AS n FROM t), s AS (SELECT p_partkey, n, length(t) AS size, substr(t, i::INT, n) AS x FROM (SELECT *, unnest(range(1, length(t) - n + 2)) AS i FROM l)),
+c AS (SELECT p_partkey FROM s WHERE size >= 3 * n AND regexp_matches(x, '[a-zA-Z]') GROUP BY p_partkey, n, size, x HAVING count(*) >= 3 AND count(*) * n / size >= 0.6)
+SELECT p_partkey, p_partkey IN (SELECT p_partkey FROM c) AS repeats FROM t""")
+def high_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _table(spark, sf_dir, "part").selectExpr("cast(p_partkey as long) as p_partkey", "concat(repeat(substr(p_name, 1, cast(1 + p_partkey % 9 as int)), cast(1 + p_partkey % 8 as int)), p_type) as t")
+    return texts.select("p_partkey", text.high_repetition("t").alias("repeats"))
