@@ -1,15 +1,19 @@
-"""Substring dedup by window hashes against reference blocks, in place of a relative Lempel-Ziv parse.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
 Spans of at least `window` words that a smaller document has as well are duplicates. A block can't hold the whole corpus, so blocks are cut
 by content: the windows of a document are dealt by their anchor, the `anchor`-word gram of least hash in the window (equal windows have
-equal anchors). A block sorts the hashes of its windows, marks those that a smaller document has, and joins marked windows that touch or
-overlap to spans; so do spans of several blocks. No factors are parsed: there is no longest match against one source, spans name no source,
-and one span may be made of windows of many. The words covered are those of the definition, which asks only for windows.
-
-What is shuffled: one row of packed arrays for each chunk of texts and block, about 7 bytes a word. Runs of windows that a chunk holds
-more than once are sent once, with their smallest document; the others are found covered on the spot, so that many copies or a common
-passage cost a row for each chunk. An anchor with a large share of all runs (`hot_share`; at most 1/hot_share of them, which bounds
-what is broadcast) has its windows dealt by their own hashes instead, so that no task gets them all.
+equal anchors). A block is the index of all runs of windows with its anchors, and the reference of each run is what smaller documents have
+there. A run is parsed greedily: from the first window that the reference has, at the place in the least document with it, the factor grows
+word by word for as long as that one source goes on alike, and ends there or at the block's edge. Then the boundary is checked: the parse
+goes on at the very next window, most of whose words the factor has covered, so that no window across two factors is missed. Factors of one
+document, source and distance that touch or overlap are one factor, also across blocks (`factors`). The source is the least document at the
+factor's start, not the one with the longest match. The words covered are those of the definition, whatever the sources (`duplicate_spans`).
+
+What is shuffled: one row of packed arrays for each chunk of texts and block, about 7 bytes a word; words are compared by the hashes of
+their windows, so that the texts themselves stay. Runs of windows that a chunk holds more than once are sent once, with their smallest
+document; the others are factored on the spot, so that many copies or a common passage cost a row for each chunk. An anchor with a large
+share of all runs (`hot_share`; at most 1/hot_share of them, which bounds what is broadcast) has its windows dealt by their own hashes
+instead, so that no task gets them all; factors there begin as single windows.
 
 Defined results: null and empty texts have no words; ids must tell texts apart: repeated rows of one id and text count as one document
 and all get its result; documents with a null id are kept whole and are no source for others; an empty table gives an empty one; only
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.staging import bound_batches, lean, partitions_for, stage
@@ -40,10 +44,10 @@ REPORTED = 8
 #: Bytes of a window's hash that are sent beside its anchor's.
 SENT = 5
 
-_BLOCK = "block int, docs binary, anchors binary, firsts binary, counts binary, at binary, windows binary, hot binary, spans binary"
-_BLOCK_ARROW = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("docs", "anchors", "firsts", "counts", "at", "windows", "hot", "spans"))])
+_BLOCK = "block int, docs binary, anchors binary, firsts binary, counts binary, at binary, windows binary, hot binary, factors binary"
+_BLOCK_ARROW = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("docs", "anchors", "firsts", "counts", "at", "windows", "hot", "factors"))])
 _HOT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4")])
-_SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
+_FACTOR = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4"), ("source", "<i8"), ("at", "<u4")])
 
 
 def _runs(hashes: np.ndarray, bounds: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -83,47 +87,83 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iter
         yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-def _joined(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Spans, with those of a document that touch or overlap made one."""
-    order = np.lexsort((starts, docs))
-    docs, starts, ends = docs[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
-    if not len(docs):
-        return np.zeros(0, _SPAN)
-    new = np.append(True, docs[1:] != docs[:-1])
-    group = np.cumsum(new) - 1
-    far = group * (1 << 33)  # a running maximum that starts anew with each document
-    reached = np.maximum.accumulate(ends + far) - far
-    cut = new.copy()
-    cut[1:] |= starts[1:] > reached[:-1]
+def _factors(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, sources: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Factors of these columns."""
+    out = np.zeros(len(docs), _FACTOR)
+    for name, value in zip(_FACTOR.names, (docs, starts, ends, sources, at), strict=True):
+        out[name] = value
+    return out
+
+
+def _joined(factors: np.ndarray, one_source: bool) -> np.ndarray:
+    """Factors, with those of a document that touch or overlap made one; only those of one source and distance, or else whatever the source, which then says nothing."""
+    if not len(factors):
+        return factors
+    starts, ends = factors["start"].astype(np.int64), factors["end"].astype(np.int64)
+    keys = [factors["doc"], *[factors["source"], starts - factors["at"]] * one_source]
+    order = np.lexsort((starts, *keys[::-1]))
+    new = np.append(True, np.zeros(len(order) - 1, bool))
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    far = (np.cumsum(new) - 1) * (1 << 33)  # a running maximum that starts anew with each group
+    reached = np.maximum.accumulate(ends[order] + far) - far
+    cut = new
+    cut[1:] |= starts[order[1:]] > reached[:-1]
     at = np.flatnonzero(cut)
-    out = np.zeros(len(at), _SPAN)
-    out["doc"], out["start"], out["end"] = docs[at], starts[at], reached[np.append(at[1:], len(docs)) - 1]
+    out = factors[order[at]]
+    out["end"] = reached[np.append(at[1:], len(order)) - 1]
     return out
 
 
-def _covered(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Where a smaller document has the same key."""
+def _earliest(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The index: for each place, the first place of its key in the smallest document."""
     order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
+    keys = keys[order]
     new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-    least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(keys), bool)
-    out[order] = docs > least
+    out = np.empty(len(keys), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     return out
 
 
-def _factor(docs: np.ndarray, at: np.ndarray, counts: np.ndarray, firsts: np.ndarray, anchors: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
-    """The covered spans of runs that share a block, by their windows' hashes."""
+def _parsed(docs: np.ndarray, at: np.ndarray, counts: np.ndarray, firsts: np.ndarray, anchors: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
+    """The greedy factors of runs that share a block, all runs advancing together; each turn takes every open factor one window on, or ends it."""
+    upto = np.cumsum(counts)
     owner = np.repeat(np.arange(len(counts)), counts)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    key = mix(anchors[owner] ^ mix(windows + (firsts[owner] - step).astype(np.uint64) * np.uint64(1 << 56)))
-    found = np.flatnonzero(_covered(key, docs[owner]))
-    start = at[owner[found]] + step[found]
-    return _joined(docs[owner[found]], start, start + window)
-
-
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_share: float = HOT_SHARE) -> DataFrame:
-    """Spans of words (id, start, end; end excluded) covered by windows that a document with a smaller id has as well. Spans of one id may overlap."""
+    step = np.arange(len(owner)) - np.repeat(upto - counts, counts)
+    keys = mix(anchors[owner] ^ mix(windows + (firsts[owner] - step).astype(np.uint64) * np.uint64(1 << 56)))
+    index = _earliest(keys, docs[owner])
+    n = len(keys)
+    # the next window, from each on, that the reference has
+    found = np.append(np.where(docs[owner[index]] < docs[owner], np.arange(n), n), n)
+    found = np.minimum.accumulate(found[::-1])[::-1]
+    x, last = found[upto - counts], upto
+    x, last = x[x < last], last[x < last]
+    begin, y, out = x, index[x], []
+    while len(x):
+        goes_on = (x + 1 < last) & (y + 1 < upto[owner[y]])
+        goes_on[goes_on] = keys[x[goes_on] + 1] == keys[y[goes_on] + 1]
+        ended = ~goes_on
+        first, end = begin[ended], x[ended]
+        origin = y[ended] - (end - first)
+        out.append(_factors(docs[owner[first]], at[owner[first]] + step[first], at[owner[end]] + step[end] + window, docs[owner[origin]], at[owner[origin]] + step[origin]))
+        # past the boundary: the next window, which the factor covers but for its last word
+        x = np.where(goes_on, x + 1, found[x + 1])
+        open_ = x < last
+        begin, y = np.where(goes_on, begin, x)[open_], np.where(goes_on, y + 1, index[np.minimum(x, n - 1)])[open_]
+        x, last = x[open_], last[open_]
+    return np.concatenate(out) if out else np.zeros(0, _FACTOR)
+
+
+def _single_factors(single: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows dealt by their own hashes have a source, and their factors."""
+    index = _earliest(single["key"], single["doc"])
+    over = single["doc"][index] < single["doc"]
+    own, source = single[over], single[index[over]]
+    return over, _factors(own["doc"], own["at"], own["at"].astype(np.int64) + window, source["doc"], source["at"])
+
+
+def _parse(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, hot_share: float, one_source: bool) -> DataFrame:
+    """The factors found in each block (id, start, end, source, source_start), joined by _joined within the block."""
     bound_batches(docs.sparkSession)
     spark, texts = docs.sparkSession, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -149,8 +189,9 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ends = np.cumsum(counts)
             sums = np.append(np.uint64(0), np.cumsum(mix(windows)))
             whole = mix(anchors ^ mix((sums[ends] - sums[ends - counts]) + firsts.astype(np.uint64) * np.uint64(64) + counts.astype(np.uint64)))
-            known = _covered(whole, ids)
-            spans = _joined(ids[known], at[known], at[known] + counts[known] + window - 1)
+            index = _earliest(whole, ids)
+            known = ids[index] < ids
+            factors = _factors(ids[known], at[known], at[known] + counts[known] + window - 1, ids[index[known]], at[index[known]])
             sent = np.flatnonzero(~known)
             is_hot = np.zeros(len(sent), bool)
             if len(hot):
@@ -171,16 +212,16 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             single["key"] = mix(anchors[own] ^ mix(windows[warm_take] + (firsts[own] - step).astype(np.uint64)))
             single["doc"], single["at"] = ids[own], at[own] + step
             # a common window is sent once for each chunk; its larger documents are covered
-            over = _covered(single["key"], single["doc"])
-            spans = np.concatenate([spans, _joined(single["doc"][over], single["at"][over], single["at"][over].astype(np.int64) + window)])
+            over, more = _single_factors(single, window)
+            factors = _joined(np.concatenate([factors, more]), one_source)
             single = single[~over]
             single = single[np.argsort(single["key"] % np.uint64(blocks), kind="stable")]
             warm_cuts = np.searchsorted((single["key"] % np.uint64(blocks)).astype(np.int64), np.arange(blocks + 1))
-            span_cuts = np.arange(blocks + 1) * len(spans) // blocks
+            factor_cuts = np.arange(blocks + 1) * len(factors) // blocks
             rows: dict[str, list] = {name: [] for name in _BLOCK_ARROW.names}
             for b in range(blocks):
                 i, j = cuts[b], cuts[b + 1]
-                mine, more = single[warm_cuts[b] : warm_cuts[b + 1]], spans[span_cuts[b] : span_cuts[b + 1]]
+                mine, more = single[warm_cuts[b] : warm_cuts[b + 1]], factors[factor_cuts[b] : factor_cuts[b + 1]]
                 if i == j and not len(mine) and not len(more):
                     continue
                 c = cold[i:j]
@@ -201,14 +242,25 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = often[back] > 1  # an anchor that occurs once has no second document
             windows = np.zeros((int(counts[keep].sum()), 8), np.uint8)
             windows[:, :SENT] = read("windows", np.uint8).reshape(-1, SENT)[np.repeat(keep, counts)]
-            found = [_factor(read("docs", "<i8")[keep], read("at", "<u4")[keep].astype(np.int64), counts[keep], read("firsts", np.uint8)[keep].astype(np.int64), anchors[keep], windows.view("<u8").reshape(-1), window)]
-            single = read("hot", _HOT)
-            over = _covered(single["key"], single["doc"])
-            found += [_joined(single["doc"][over], single["at"][over], single["at"][over].astype(np.int64) + window), read("spans", _SPAN)]
-            spans = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(spans[c].astype(k)) for c, k in (("doc", np.int64), ("start", np.int64), ("end", np.int64))], ["id", "start", "end"])
-
-    return texts.mapInArrow(lean(send), _BLOCK).repartition(blocks, "block").mapInArrow(lean(factor), "id long, start long, end long")
+            parsed = _parsed(read("docs", "<i8")[keep], read("at", "<u4")[keep].astype(np.int64), counts[keep], read("firsts", np.uint8)[keep].astype(np.int64), anchors[keep], windows.view("<u8").reshape(-1), window)
+            factors = _joined(np.concatenate([parsed, _single_factors(read("hot", _HOT), window)[1], read("factors", _FACTOR)]), one_source)
+            yield pa.RecordBatch.from_arrays([pa.array(factors[c].astype(np.int64)) for c in _FACTOR.names], ["id", "start", "end", "source", "source_start"])
+
+    return texts.mapInArrow(lean(send), _BLOCK).repartition(blocks, "block").mapInArrow(lean(factor), "id long, start long, end long, source long, source_start long")
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_share: float = HOT_SHARE) -> DataFrame:
+    """The factors of at least `window` words: id, start, end (excluded), source (a smaller id) and source_start, with equal words there. Factors of one id may overlap."""
+    found = _parse(docs, id_col, text_col, window, anchor, hot_share, True).withColumn("distance", F.expr("start - source_start"))
+    line = Window.partitionBy("id", "source", "distance").orderBy("start", "end")
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    parts = found.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy("id", "source", "distance", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("id", "start", "end", "source", F.expr("start - distance").alias("source_start"))
+
+
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_share: float = HOT_SHARE) -> DataFrame:
+    """Spans of words (id, start, end; end excluded) that factors cover, whatever their sources: all windows that a document with a smaller id has as well. Spans of one id may overlap."""
+    return _parse(docs, id_col, text_col, window, anchor, hot_share, False).select("id", "start", "end")
 
 
 def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 16) -> Iterator[bytes]:

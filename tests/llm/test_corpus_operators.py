@@ -29,10 +29,26 @@ def test_substring_dedup(docs, empty):
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         want[i, len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()] += 1
     assert sum(k[2] for k in want) > 500
-    for share in (substring_dedup.HOT_SHARE, 2.0):
-        got = substring_dedup.remove_duplicates(docs)
-        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got.collect()) == want, share
+    got = substring_dedup.remove_duplicates(docs)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got.collect()) == want
     assert substring_dedup.remove_duplicates(empty).count() == 0
+    # factors name a smaller document with the same words, and cover the same words
+    texts, covered = {i: words(t, lower=False) for i, t in rows}, {}
+    for f in substring_dedup.factors(docs).collect():
+        own, source = texts[f.id][f.start : f.end], texts[f.source][f.source_start : f.source_start + f.end - f.start]
+        assert f.source < f.id and len(own) == f.end - f.start >= 50 and own == source, f
+        covered.setdefault(f.id, set()).update(range(f.start, f.end))
+    assert {(i, len(c)) for i, c in covered.items()} == {(k[0], k[2]) for k in want if k[2]}
+    assert substring_dedup.factors(empty).count() == 0
+
+
+def test_substring_dedup_factors(spark):
+    """A factor is as long as its source goes on, across blocks; at its boundary the parse finds the next source."""
+    w = [f"w{i}" for i in range(1000)]
+    texts = {1: w[:100], 2: w[50:150], 3: w[:150], 4: ["x", *w[200:900]], 5: ["y", "y", *w[200:900], "z"], 6: w[200:249]}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in substring_dedup.factors(df).collect()}
+    assert got == {(2, 0, 50, 1, 50), (3, 0, 100, 1, 0), (3, 51, 150, 2, 1), (5, 2, 702, 4, 1)}
 
 
 def test_substring_dedup_hot_anchors(spark, monkeypatch):
