@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 WHITE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once however often f names it; f can't use Python."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def trim(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")

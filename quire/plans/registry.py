@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import fields, numbers, sniff, text
+from quire.functions import fields, formula, marks, numbers, sniff, text
 from quire.operators import blocks, chunks, compare, forms, geometry, layout, lint, markdown, numbering as paragraph_numbering, quality, redact, structure, style, tables
 from quire.plans import fixtures as fx
 from quire.sources import hwpx_write, office
@@ -580,3 +580,92 @@ SELECT p_partkey, p_partkey IN (SELECT p_partkey FROM c) AS repeats FROM t""")
 def high_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _table(spark, sf_dir, "part").selectExpr("cast(p_partkey as long) as p_partkey", "concat(repeat(substr(p_name, 1, cast(1 + p_partkey % 9 as int)), cast(1 + p_partkey % 8 as int)), p_type) as t")
     return texts.select("p_partkey", text.high_repetition("t").alias("repeats"))
+
+
+_LETTERS_SQL = "SELECT p_partkey::BIGINT AS p_partkey, lower(regexp_replace(p_type, '[^a-zA-Z]', '', 'g')) AS w FROM part"
+
+
+def _lettered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the letters of their type as one word."""
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.lower(F.regexp_replace("p_type", "[^a-zA-Z]", "")).alias("w"))
+
+
+@_query(rf"SELECT p_partkey, '\mathrm{{' || w || '}}_{{' || p_partkey || '}}=\alpha ' || w[1] || '+7' AS latex FROM ({_LETTERS_SQL})")
+def cleaned_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas spaced out as a recogniser gives them, with an empty group, a command run into a letter and blanks at the end; the SQL puts together what they stand for."""
+    spaced = lambda c: F.regexp_replace(c, "(.)(?=.)", "$1 ")
+    raw = F.concat(F.lit(r"\mathrm { "), spaced(F.col("w")), F.lit(" } ^ { } _ { "), spaced(F.col("p_partkey").cast("string")), F.lit(r" }  =  \alpha"), F.left("w", F.lit(1)), F.lit(r" + 7 \quad \, "))
+    return _lettered_parts(spark, sf_dir).select("p_partkey", formula.cleaned(raw).alias("latex"))
+
+
+@_query(f"""SELECT p_partkey, CASE k WHEN 0 THEN least(length(w), 1 + p_partkey % 9) <= 6 WHEN 1 THEN p_partkey % 3 = p_partkey % 2 WHEN 2 THEN p_partkey % 3 = p_partkey % 2 WHEN 3 THEN p_partkey % 5 >= 2 WHEN 4 THEN true ELSE false END AS trivial
+FROM (SELECT p_partkey, w, p_partkey // 10 % 6 AS k FROM ({_LETTERS_SQL}))""")
+def trivial_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas of six kinds, of which the SQL knows which mean something."""
+    parts = _lettered_parts(spark, sf_dir).selectExpr("p_partkey", "w", "cast(p_partkey as string) as n", "cast(p_partkey % 3 as string) as a", "cast(p_partkey % 2 as string) as b", "cast(floor(p_partkey / 10) % 6 as int) as k")
+    c = F.col
+    kinds = [
+        F.concat(F.lit(r"\mathrm{"), F.left("w", (1 + c("p_partkey") % 9).cast("int")), F.lit("}")), F.concat(F.lit("C("), c("a"), F.lit(","), c("b"), F.lit(")")),
+        F.concat(F.lit(r"\frac{"), c("a"), F.lit("}{"), c("b"), F.lit("}")), F.concat(F.repeat(F.lit("x"), (1 + c("p_partkey") % 5).cast("int")), F.lit("=1")), F.concat(c("n"), F.lit(".5")),
+        F.concat(F.lit("d_{"), c("a"), F.lit("}="), c("b")),
+    ]
+    return parts.select("p_partkey", formula.is_trivial(F.element_at(F.array(*kinds), c("k") + 1)).alias("trivial"))
+
+
+#: The first 28 Hangul ordinals, for the SQL.
+_ORDINALS = "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허"
+
+
+@_query(f"""WITH o AS (SELECT *, (item_id // 3 % 8)::INT AS depth FROM ({_ORDERED_SQL})),
+p AS (SELECT o.*, (SELECT coalesce(max(q.k), -1) FROM o q WHERE q.doc_id = o.doc_id AND q.k < o.k AND q.depth < o.depth) AS parent FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, depth, parent ORDER BY k) - 1 AS n, count(*) OVER (PARTITION BY doc_id, depth, parent) AS siblings FROM p)
+SELECT doc_id, item_id, n::INT AS place, CASE WHEN siblings = 1 THEN '' ELSE CASE WHEN depth IN (4, 5) THEN '(' ELSE '' END ||
+CASE depth WHEN 0 THEN (n + 1)::TEXT WHEN 2 THEN (n + 1)::TEXT WHEN 4 THEN (n + 1)::TEXT WHEN 6 THEN chr((9312 + n)::INT) WHEN 7 THEN chr((12910 + n)::INT) ELSE substr('{_ORDINALS}', n + 1, 1) END ||
+CASE WHEN depth < 2 THEN '.' WHEN depth < 6 THEN ')' ELSE '' END END AS mark, substr('□○-ㆍ', least(depth, 3) + 1, 1) AS bullet FROM n""")
+def item_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _ordered_items(spark, sf_dir).withColumn("depth", (F.floor(F.col("item_id") / 3) % 8).cast("int"))
+    marked = paragraph_numbering.item_marks(items, ["doc_id"], ["k"])
+    return marked.select("doc_id", "item_id", "place", "mark", marks.bullet_mark(F.col("depth")).alias("bullet"))
+
+
+@_query(f"""SELECT doc_id, item_id, (k + 3)::TEXT || '. ' || substr('{_ORDINALS}', CASE WHEN k % 3 > 0 THEN 1 + k % 3 ELSE 2 END, 1) || ') ' || chr(9312) || '-' ||
+CASE WHEN k + 2 <= 26 THEN chr(98 + k) ELSE chr(96 + (k + 1) // 26) || chr(97 + (k + 1) % 26) END || ' ^9' AS said FROM ({_ORDERED_SQL})""")
+def numbering_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ints = lambda *x: F.array(*[F.lit(v) if isinstance(v, int) else v for v in x])
+    k = F.col("k")
+    said = marks.expanded(F.lit("^1. ^2) ^3-^4 ^9"), ints(k + 1, k % 3, 0, k + 2), ints(3, 2), ints(0, 8, 1, 5))
+    return _ordered_items(spark, sf_dir).select("doc_id", "item_id", said.alias("said"))
+
+
+@_query("""SELECT p_partkey::BIGINT AS p_partkey, p_name AS title, CASE WHEN n <= 12 THEN chr((8543 + n)::INT) ELSE repeat('Ⅹ', (n // 10)::INT) ||
+CASE n % 10 WHEN 0 THEN '' WHEN 4 THEN 'Ⅳ' WHEN 9 THEN 'Ⅸ' ELSE CASE WHEN n % 10 >= 5 THEN 'Ⅴ' ELSE '' END || repeat('Ⅰ', (n % 5)::INT) END END AS roman FROM (SELECT *, 1 + p_partkey % 60 AS n FROM part)""")
+def chapter_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles under bullets and numbers of several kinds, and their chapters' numbers."""
+    n = (1 + F.col("p_partkey") % 60).cast("int")
+    number = F.concat(F.lit("2."), n.cast("string"))
+    titles = [F.concat(F.lit("□ "), "p_name"), F.concat(number, F.lit(". "), "p_name"), F.concat(F.lit(" ○ "), marks.chapter_roman(F.least(n, F.lit(12))), F.lit(") "), "p_name"), F.concat(n.cast("string"), F.lit(" . "), "p_name", F.lit(" "))]
+    title = F.element_at(F.array(*titles), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), marks.bare_chapter_title(title).alias("title"), marks.chapter_roman(n).alias("roman"))
+
+
+@_query("SELECT o_orderkey::BIGINT AS o_orderkey, year(o_orderdate) || '. ' || month(o_orderdate) || '. ' || day(o_orderdate) || '.' AS said, round(o_custkey * 7200 / 25.4)::BIGINT AS units, o_orderkey % 2 = 0 AS ended FROM orders")
+def letter_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as written, lengths in units and closing words."""
+    day = F.col("o_orderdate").cast("date")
+    text_ = F.concat(F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("  끝 . ")).otherwise(F.lit("끝.")))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), marks.dotted_date(day).alias("said"), marks.mm_to_units(F.col("o_custkey")).alias("units"), marks.has_end_mark(text_).alias("ended"))
+
+
+@_query("SELECT p_partkey::BIGINT AS p_partkey, CASE WHEN p_partkey % 5 < 4 THEN 1 + p_partkey % 4000 ELSE -1 END AS width, CASE WHEN p_partkey % 5 < 4 THEN p_size::BIGINT ELSE -1 END AS height FROM part")
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of four formats, a BMP's height negative, and files without one, for which there is -1."""
+    big = lambda v, n: F.lpad(F.hex(v), 2 * n, "0")
+    small = lambda v, n: F.concat(*[F.substring(big(v, n), 2 * k + 1, 2) for k in reversed(range(n))])
+    w, h = (1 + F.col("p_partkey") % 4000).cast("long"), F.col("p_size").cast("long")
+    headers = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4)), F.concat(F.lit("FFD8FFE00006AABBCCDDFFC400040000FFC2001108"), big(h, 2), big(w, 2), F.lit("0301")),
+        F.concat(F.lit("474946383961"), small(w, 2), small(h, 2)), F.concat(F.lit("424D" + "00" * 16), small(w, 4), small((1 << 32) - h, 4)), F.lit("25504446" + "00" * 30),
+    ]
+    files = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.unhex(F.element_at(F.array(*headers), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("content"))
+    sized = files.select("p_partkey", sniff.image_size(F.col("content")).alias("size"))
+    return sized.select("p_partkey", *[F.coalesce(F.col(f"size.{c}"), F.lit(-1)).cast("long").alias(c) for c in ("width", "height")])
