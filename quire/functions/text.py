@@ -221,3 +221,41 @@ def high_repetition(text: str | Column) -> Column:
         return texts.map(repeats_much).astype(bool)
 
     return run(text)
+
+
+def section_path(href: Column) -> Column:
+    """The path in the package of a section that a manifest names, by itself in the folder Contents; null for anything else and for paths that lead out."""
+    path = F.regexp_replace(F.translate(href, "\\", "/"), "^/+", "")
+    path = F.when(path.rlike(r"^[Ss]ection\d+\.xml$"), F.concat(F.lit("Contents/"), path)).otherwise(path)
+    return F.when(path.rlike(r"(?:^|/)[Ss]ection\d+\.xml$") & ~is_path_traversal(path), path)
+
+
+def section_number(path: Column) -> Column:
+    """The number that sections are in order of, ahead of their names; for other paths one that comes last."""
+    digits = F.regexp_extract(path, r"[Ss]ection(\d+)\.xml$", 1)
+    return F.when(digits != "", digits.cast("decimal(38,0)")).otherwise(F.lit(2**53 - 1).cast("decimal(38,0)"))
+
+
+#: What a message says and the error's class, the first that fits (fixed values); signs in one group must all be there, one of each set.
+ERROR_CLASSES = (
+    ((("DRM",),), "DRM_PROTECTED"),
+    ((("암호화", "암호로 보호"),), "ENCRYPTED"),
+    ((("optional dependency",),), "MISSING_DEPENDENCY"),
+    ((("Invalid string length", "Cannot create a string longer"),), "OUTPUT_TOO_LARGE"),
+    ((("ZIP bomb", "ZIP 비압축 크기 초과", "ZIP 엔트리 수 초과"),), "ZIP_BOMB"),
+    ((("bomb", "크기 초과", "압축 해제"),), "DECOMPRESSION_BOMB"),
+    ((("이미지 기반",),), "IMAGE_BASED_PDF"),
+    ((("섹션",), ("찾을 수 없", "없음")), "NO_SECTIONS"),
+    ((("시그니처", "복구할 수 없"),), "CORRUPTED"),
+)
+
+
+def error_class(message: Column) -> Column:
+    """The class of a parser's message; PARSE_ERROR for other ones and null."""
+    out = F.when(F.lit(False), "")
+    for groups, name in ERROR_CLASSES:
+        fits = F.lit(True)
+        for signs in groups:
+            fits = fits & message.rlike("|".join(re.escape(x) for x in signs))
+        out = out.when(fits, name)
+    return out.otherwise("PARSE_ERROR")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -150,3 +150,38 @@ def components_of_lines(lines: DataFrame, reach: float = 2.0) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields)
     return lines.groupBy("doc_id", "page").applyInPandas(fold, f"{fields}, group long")
+
+
+def bounding_boxes(items: DataFrame, keys: list[str], order: str = "item_id") -> DataFrame:
+    """For each group its box (x, y, width, height) and most frequent font size with the font that first has it.
+
+    Items without height count with their font size instead. Of sizes equally frequent the one that got there first counts; sizes of 0 and
+    below don't, and where there are no others size and font are null. Empty font names are null. Order must be total within the keys.
+    """
+    tall = F.when(F.col("h") > 0, F.col("h")).otherwise(F.col("font_size"))
+    font = F.nullif(F.col("font_name"), F.lit(""))
+    sizes = items.groupBy(*keys, "font_size").agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + tall).alias("top"),
+        F.count(F.lit(1)).alias("often"), F.max(order).alias("last"), F.min(F.struct(F.col(order), font.alias("font")))["font"].alias("font"),
+    )
+    rank = F.when(F.col("font_size") > 0, F.struct(-F.col("often"), F.col("last")))
+    return sizes.groupBy(*keys).agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), (F.max("right") - F.min("x")).alias("width"), (F.max("top") - F.min("y")).alias("height"),
+        F.min_by("font_size", rank).alias("font_size"), F.min_by("font", rank).alias("font_name"),
+    )
+
+
+def decoded_steps(steps: DataFrame, keys: list[str], signs: list[str], order: str = "step", scores: str = "scores") -> DataFrame:
+    """The text and mean confidence of a recogniser's scores, step by step.
+
+    Each step's best class counts unless it is 0 or that of the step before; class k is the k-th of `signs`, the one after the last a blank. Of equal
+    scores the first is best. Scores outside of 0 to 1 are taken for logits of their step. Groups without any text are left out. Order must be total within the keys.
+    """
+    line = Window.partitionBy(*keys).orderBy(order)
+    top = F.array_max(scores)
+    share = F.when((top > 1.0001) | (top < 0), 1 / F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top))).otherwise(top)
+    rows = steps.select(*keys, order, (F.array_position(F.col(scores), top) - 1).cast("int").alias("best"), share.cast("double").alias("share"))
+    rows = rows.withColumn("before", F.lag("best").over(line)).where((F.col("best") > 0) & ~F.col("best").eqNullSafe(F.col("before")))
+    sign = F.coalesce(F.get(F.array(*[F.lit(x) for x in [*signs, " "]]), F.col("best") - 1), F.lit(""))
+    texts = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), sign.alias("sign")))), lambda x: x["sign"]), "").alias("text"), F.avg("share").alias("confidence"))
+    return texts.where("text <> ''")

@@ -29,7 +29,13 @@ RANGE_WIDTHS = (
 NO_START, NO_END = frozenset("!%),.:;?]}¢°′″℃〉》」』】〕！％），．：；？］｝￠～…·、。〃"), frozenset("$([{£¥〈《「『【〔＄（［｛￦")
 BLANK = 500
 OTHER = 550
-FIXED_PITCH = re.compile("굴림체|돋움체|바탕체|궁서체")
+#: Fonts whose characters are all half or full width (fixed values).
+FIXED_PITCH = ("굴림체", "돋움체", "바탕체", "궁서체")
+
+
+def is_fixed_pitch(font: Column) -> Column:
+    """Whether a font's widths are those of fixed_pitch; false for null."""
+    return F.coalesce(F.trim(font).isin(*FIXED_PITCH), F.lit(False))
 
 
 def widths(text: str, fixed_pitch: bool = False, blank: int = BLANK) -> np.ndarray:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import bound, trim
+
 #: Stretches in which signs of emphasis are not escaped: images, targets of safe links, formulas (fixed values).
 _KEPT = re.compile(r"!\[[^\]]*\]\([^)\n]*\)|\]\((?:https?:|mailto:|tel:|#)[^)\n]*\)|\$\$[^$]*\$\$|\$[^$\n]*\$", re.I)
 
@@ -274,3 +276,33 @@ def clean_page_text(text: Column) -> Column:
     ):
         text = F.regexp_replace(text, pattern, by)
     return text
+
+
+_LINES, _NOTE = r"\r\n?|\n", r"^\[\^([^\]\s]+)\]:\s?(.*)$"
+
+
+def footnotes(text: Column) -> Column:
+    """The definitions of footnotes, one a line, as an array of (label, text); of several with one label the last. Null gives null."""
+    found = F.transform(F.filter(F.split(text, _LINES), lambda x: x.rlike(_NOTE)), lambda x: F.struct(F.regexp_extract(x, _NOTE, 1).alias("label"), trim(F.regexp_extract(x, _NOTE, 2)).alias("text")))
+    return bound(found, lambda notes: F.filter(notes, lambda note, i: ~F.exists(F.slice(notes, i + 2, F.greatest(F.size(notes), F.lit(1))), lambda later: later["label"] == note["label"])))
+
+
+def without_footnotes(text: Column) -> Column:
+    """The text without lines that define footnotes, with plain line ends; as it is if there are none."""
+    lines = F.split(text, _LINES)
+    kept = F.filter(lines, lambda x: ~x.rlike(_NOTE))
+    return F.when(F.size(kept) < F.size(lines), F.array_join(kept, "\n")).otherwise(text)
+
+
+#: An image, its target without blanks (fixed pattern).
+_IMAGE = r"!\[[^\]]*\]\(([^)\s]+)\)"
+
+
+def image_targets(text: Column) -> Column:
+    """The targets of a text's images, in order."""
+    return F.regexp_extract_all(text, F.lit(_IMAGE), 1)
+
+
+def without_images(text: Column) -> Column:
+    """The text without its images."""
+    return F.regexp_replace(text, _IMAGE, "")

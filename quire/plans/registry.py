@@ -669,3 +669,69 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.unhex(F.element_at(F.array(*headers), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("content"))
     sized = files.select("p_partkey", sniff.image_size(F.col("content")).alias("size"))
     return sized.select("p_partkey", *[F.coalesce(F.col(f"size.{c}"), F.lit(-1)).cast("long").alias(c) for c in ("width", "height")])
+
+
+@_query("""SELECT p_partkey::BIGINT AS p_partkey, CASE k WHEN 0 THEN 'Contents/section' || n || '.xml' WHEN 1 THEN 'Contents/Section' || n || '.xml' WHEN 2 THEN 'a/b/section' || n || '.xml' ELSE '' END AS path,
+CASE WHEN k < 3 THEN n ELSE 9007199254740991 END::BIGINT AS number FROM (SELECT *, (p_partkey % 7)::INT AS k, (p_partkey % 900)::BIGINT AS n FROM part)""")
+def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in manifests, some with other slashes, some of no section or leading out."""
+    n = (F.col("p_partkey") % 900).cast("string")
+    hrefs = [("section", ".xml"), ("\\Contents\\Section", ".xml"), ("//a/b/section", ".xml"), ("../section", ".xml"), ("Contents/header", ".xml"), ("xsection", ".xml.bak"), ("C:\\section", ".xml")]
+    href = F.element_at(F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, b in hrefs]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    path = text.section_path(href)
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.coalesce(path, F.lit("")).alias("path"), text.section_number(F.coalesce(path, F.lit(""))).cast("long").alias("number"))
+
+
+@_query("""SELECT c_custkey::BIGINT AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(13) || chr(10) || c_mktsegment ELSE c_name || chr(10) || chr(10) || ' end' END AS body,
+CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'b=' || c_mktsegment || ';a=' || c_custkey END AS notes, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_custkey || '.png,x/' || c_nationkey END AS images FROM customer""")
+def footnotes_and_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with definitions of footnotes, one of them twice, and images."""
+    key, name, segment = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")
+    noted = F.concat(
+        name, F.lit("\r\n[^a]: first\r![p]("), key, F.lit(".png)\n[^b]:"), segment, F.lit(" \n[^a]:  "), key, F.lit("\n![](x/"), F.col("c_nationkey").cast("string"), F.lit(") end")
+    )
+    own = F.when(key.cast("long") % 3 == 0, F.concat(name, F.lit("\r\n"), segment)).otherwise(noted)
+    found = F.array_join(F.transform(markdown.footnotes(own), lambda x: F.concat(x["label"], F.lit("="), x["text"])), ";")
+    return _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("long").alias("c_custkey"), markdown.without_images(markdown.without_footnotes(own)).alias("body"), found.alias("notes"), F.array_join(markdown.image_targets(own), ",").alias("images")
+    )
+
+
+_LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag"
+
+
+def _ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each order, numbered from 1: line numbers aren't unique."""
+    return _table(spark, sf_dir, "lineitem").selectExpr("*", f"cast(row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as int) as i")
+
+
+@_query(f"""WITH i AS (SELECT l_orderkey::BIGINT AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}))::INT AS i, (l_partkey % 500)::INT AS x, (l_suppkey % 300)::INT AS y, l_partkey % 3 * 4 AS size, l_returnflag AS font FROM lineitem),
+s AS (SELECT doc_id, size, count(*) AS often, max(i) AS last, arg_min(font, i) AS font FROM i WHERE size > 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY often DESC, last) AS n FROM s)
+SELECT b.doc_id, b.x, b.y, b.width, b.height, coalesce(r.size, -1)::INT AS font_size, coalesce(r.font, '') AS font_name
+FROM (SELECT doc_id, min(x) AS x, min(y) AS y, max(x + i) - min(x) AS width, (max(y + CASE WHEN i % 2 = 0 THEN 9 ELSE size END) - min(y))::INT AS height FROM i GROUP BY doc_id) b LEFT JOIN r ON r.doc_id = b.doc_id AND n = 1""")
+def item_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as items, every second without height."""
+    items = _ordered_lines(spark, sf_dir).selectExpr(
+        "cast(l_orderkey as long) as doc_id", "i as item_id", "cast(l_partkey % 500 as int) as x", "cast(l_suppkey % 300 as int) as y", "i as w",
+        "if(i % 2 = 0, 9, 0) as h", "cast(l_partkey % 3 * 4 as int) as font_size", "l_returnflag as font_name",
+    )
+    boxes = geometry.bounding_boxes(items, ["doc_id"])
+    return boxes.select("doc_id", "x", "y", "width", "height", F.coalesce("font_size", F.lit(-1)).alias("font_size"), F.coalesce("font_name", F.lit("")).alias("font_name"))
+
+
+@_query(f"""WITH o AS (SELECT l_orderkey::BIGINT AS doc_id, (l_partkey % 4)::INT AS best, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) AS i FROM lineitem),
+s AS (SELECT *, lag(best, 1, -1) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM o)
+SELECT doc_id, string_agg(substr('가나 ', best, 1), '' ORDER BY i) AS text, 75::BIGINT AS percent FROM s WHERE best > 0 AND best <> before GROUP BY doc_id""")
+def decoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as a recogniser's steps."""
+    scores = F.array(*[F.when(F.col("l_partkey") % 4 == k, 0.75).otherwise(0.08) for k in range(4)])
+    steps = _ordered_lines(spark, sf_dir).select(F.col("l_orderkey").cast("long").alias("doc_id"), F.col("i").alias("step"), scores.alias("scores"))
+    return geometry.decoded_steps(steps, ["doc_id"], ["가", "나"]).select("doc_id", "text", F.round(F.col("confidence") * 100).cast("long").alias("percent"))
+
+
+@_query("""SELECT p_partkey::BIGINT AS p_partkey, ['DRM_PROTECTED', 'ENCRYPTED', 'ZIP_BOMB', 'DECOMPRESSION_BOMB', 'NO_SECTIONS', 'PARSE_ERROR', 'CORRUPTED', 'PARSE_ERROR'][(p_partkey % 8 + 1)::INT] AS class FROM part""")
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = ["DRM 암호화", "암호로 보호된 글", "ZIP bomb 의심", "압축 해제 실패", "섹션을 찾을 수 없음", "섹션", "시그니처 불일치", "?"]
+    message = F.concat("p_name", F.lit(": "), F.element_at(F.array(*map(F.lit, said)), (F.col("p_partkey") % 8 + 1).cast("int")))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), text.error_class(message).alias("class"))

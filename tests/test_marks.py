@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import formula, marks, sniff
-from quire.operators import numbering
+from quire.functions import formula, marks, sniff, text
+from quire.operators import geometry, layout, markdown, numbering
 
 
 def test_formulas(spark):
@@ -64,3 +64,29 @@ def test_image_sizes(spark):
     for r in rows:
         want = files[bytes(r.c) if r.c is not None else None]
         assert (None if r.s is None or r.s.width is None else (r.s.width, r.s.height)) == want, r
+
+
+def test_footnotes_and_sections(spark):
+    rows = spark.createDataFrame([("a\r\nb",), ("x\n[^1]: p\n[^1]:  q \n [^2]: no\n[^3]:",), ("[^ ]: no",), ("",), (None,)], "t string")
+    got = {r.t: r for r in rows.select("t", markdown.footnotes(F.col("t")).alias("n"), markdown.without_footnotes(F.col("t")).alias("w")).collect()}
+    assert got["a\r\nb"].w == "a\r\nb" and got["a\r\nb"].n == [] and got[""].w == "" and got[None].n is None and got[None].w is None and got["[^ ]: no"].n == []
+    noted = got["x\n[^1]: p\n[^1]:  q \n [^2]: no\n[^3]:"]
+    assert [tuple(x) for x in noted.n] == [("1", "q"), ("3", "")] and noted.w == "x\n [^2]: no"
+    names = ["section10.xml", "a/Section2.xml", "b/section2.xml", "x"]
+    df = spark.createDataFrame([(x,) for x in names], "p string")
+    assert [r.p for r in df.orderBy(text.section_number(F.col("p")), "p").collect()] == ["a/Section2.xml", "b/section2.xml", "section10.xml", "x"]
+    fonts = spark.createDataFrame([("굴림체 ",), ("굴림",), ("새굴림체",), (None,)], "f string").select(layout.is_fixed_pitch(F.col("f")).alias("x"))
+    assert [r.x for r in fonts.collect()] == [True, False, False, False]
+    errors = spark.createDataFrame([(None,), ("섹션 없음",), ("크기 초과",)], "m string").select(text.error_class(F.col("m")).alias("c"))
+    assert [r.c for r in errors.collect()] == ["PARSE_ERROR", "NO_SECTIONS", "DECOMPRESSION_BOMB"]
+
+
+def test_boxes_and_steps(spark):
+    items = [(1, 0, 5, 5, 10, 0, 0, "z"), (1, 1, 1, 9, 2, 3, 8, ""), (1, 2, 0, 0, 1, 1, 6, "b"), (1, 3, 0, 0, 1, 1, 6, "c"), (1, 4, 0, 0, 1, 1, 8, "d"), (2, 0, 1, 1, 1, 0, 0, "e")]
+    df = spark.createDataFrame(items, "doc long, item_id int, x int, y int, w int, h int, font_size int, font_name string")
+    assert [tuple(r) for r in geometry.bounding_boxes(df, ["doc"]).orderBy("doc").collect()] == [(1, 0, 0, 15, 12, 6, "b"), (2, 1, 1, 1, 0, None, None)]
+    assert geometry.bounding_boxes(df.limit(0), ["doc"]).count() == 0
+    steps = [(1, 0, [0.1, 0.9]), (1, 1, [0.1, 0.9]), (1, 2, [0.9, 0.1]), (1, 3, [0.0, 2.0]), (1, 4, [0.5, 0.4, 0.1]), (1, 5, [0.1, 0.1, 0.8]), (2, 0, [0.9, 0.1]), (3, 0, None)]
+    df = spark.createDataFrame(steps, "doc long, step int, scores array<double>")
+    (row,) = geometry.decoded_steps(df, ["doc"], ["a"]).collect()
+    assert row.doc == 1 and row.text == "aa " and row.confidence == pytest.approx((0.9 + 1 / (1 + 2.718281828459045**-2) + 0.8) / 3)
