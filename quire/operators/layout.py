@@ -20,10 +20,10 @@ SIGN_WIDTHS = {
     0xA0: 300, 0xA3: 568, 0xA5: 707, 0xA7: 498, 0xAB: 440, 0xAC: 564, 0xB0: 291, 0xB1: 798, 0xB6: 606, 0xB7: 320, 0xBB: 440, 0xD7: 617, 0xF7: 678, 0x2013: 625, 0x2014: 875, 0x2015: 875,
     0x2018: 320, 0x2019: 320, 0x201C: 480, 0x201D: 480, 0x2020: 558, 0x2021: 438, 0x2025: 640, 0x2026: 960, 0x2030: 988, 0x2032: 335, 0x2033: 474, 0x203B: 770, 0x20AC: 656, 0x261C: 1012, 0x261E: 1012,
 }
-#: Ranges with one advance, later ones over earlier ones (fixed values).
+#: Ranges with one advance (fixed values).
 RANGE_WIDTHS = (
-    (0x2E80, 0x10FFFF, 970), (0x2160, 0x2183, 970), (0x2190, 0x22FF, 970), (0x2460, 0x24FF, 970), (0x25A0, 0x26FF, 970), (0x1100, 0x11FF, 970), (0x4E00, 0x9FFF, 1000), (0xF900, 0xFAFF, 1000),
-    (0x3008, 0x3011, 500), (0x3014, 0x301B, 500),
+    (0x1100, 0x11FF, 970), (0x2160, 0x2183, 970), (0x2190, 0x22FF, 970), (0x2460, 0x24FF, 970), (0x25A0, 0x26FF, 970), (0x2E80, 0x3007, 970), (0x3008, 0x3011, 500), (0x3012, 0x3013, 970),
+    (0x3014, 0x301B, 500), (0x301C, 0x4DFF, 970), (0x4E00, 0x9FFF, 1000), (0xA000, 0xF8FF, 970), (0xF900, 0xFAFF, 1000), (0xFB00, 0x10FFFF, 970),
 )
 #: Signs that begin no line, and that end none (fixed values).
 NO_START, NO_END = frozenset("!%),.:;?]}¢°′″℃〉》」』】〕！％），．：；？］｝￠～…·、。〃"), frozenset("$([{£¥〈《「『【〔＄（［｛￦")

@@ -22,7 +22,7 @@ PATTERNS = {
     "phone": r"(?<![\d-])(?:(01[016789]|070|02|0[3-6]\d)([-. ]?)(\d{3,4})\2(\d{4})|(1[568]\d{2})([-. ])(\d{4}))(?!\d)",
     "driver": r"(?<![\d-])(\d{2})-(\d{2})-\d{6}-\d{2}(?!-?\d)",
     "account": r"(?<!\d)(?<!\d-)\d{2,6}(?:-\d{2,6}){1,2}-\d{2,8}(?!-?\d)",
-    "passport": r"(?<![0-9A-Za-z_])([MSRODG])\d{8}(?![0-9A-Za-z])",
+    "passport": r"\b([MSRODG])\d{8}(?![0-9A-Za-z])",
 }
 _COMPILED = {rule: re.compile(pattern, re.ASCII) for rule, pattern in PATTERNS.items()}
 
