@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.staging import bound_batches, lean
-from quire.llm.table import Collision, SpanCache, Table
+from quire.llm.table import ByteSpanCache, Collision, Table
 from quire.llm.text import slices, text_bytes
 
 UNIGRAM, BPE = 1, 2
@@ -102,7 +102,7 @@ class Model:
     bytes_at: int = -1
     unknown: int = 0
     pairs: Table = field(default_factory=lambda: Table(18))
-    known: SpanCache = field(default_factory=SpanCache)
+    known: ByteSpanCache = field(default_factory=ByteSpanCache)
 
     @classmethod
     def read(cls, data: bytes) -> Model:
@@ -301,7 +301,7 @@ class Model:
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(flat)) if len(starts) else starts
         try:
-            places, first, word = self.known.find(flat, starts, ends)
+            places, first, word = self.known.find_spans(flat, starts, ends)
         except Collision:  # word by word
             own = [self._words(flat[a:b][None, :])[1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             return np.concatenate(own), np.append(0, np.cumsum([len(x) for x in own]))[np.searchsorted(starts, bounds)]
@@ -318,7 +318,7 @@ class Model:
             counts[own] = n
             lists.append(pieces)
             i = j
-        places[new[order]] = self.known.add(order, counts[order], np.concatenate(lists))
+        places[new[order]] = self.known.add_spans(order, counts[order], np.concatenate(lists))
         n, ids = self.known.gather(places[word])
         return ids, np.append(0, np.cumsum(n))[np.searchsorted(starts, bounds)]
 

@@ -66,8 +66,13 @@ def _edges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return words[starts + _EDGE] & _MASKS[size], words[ends] >> (np.uint64(8) * (_EDGE - size).astype(np.uint64))
 
 
+def grown(held: np.ndarray, n: int, most: int) -> np.ndarray:
+    """The first n values, with room for half as many again as `most`."""
+    return np.concatenate([held[:n], np.zeros(most + (most >> 1) - n, held.dtype)])
+
+
 class SpanCache:
-    """Encoded spans of bytes: what was encoded once in a process isn't again, until `most` spans are held and all are let go. Found by hash, compared by their bytes."""
+    """Lists of whole numbers by 64-bit hash: what was worked out once in a process isn't again, until `most` are held and all are let go."""
 
     def __init__(self, most: int = 400_000) -> None:
         self.most = most
@@ -76,10 +81,46 @@ class SpanCache:
     def clear(self) -> None:
         self.table, self.n, self.used = Table(16), 0, 0
         self.starts, self.sizes, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of distinct hashes; -1 for those that aren't held."""
+        places = self.table.get(hashes)
+        if self.n + int((places < 0).sum()) > self.most and self.n:
+            self.clear()
+            places = np.full(len(hashes), -1, np.int32)
+        return places
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Holds lists that aren't held yet, one after the other; their places."""
+        n, used = self.n + len(hashes), self.used + len(flat)
+        for name in ("starts", "sizes"):
+            if n > len(getattr(self, name)):
+                setattr(self, name, grown(getattr(self, name), self.n, n))
+        if used > len(self.flat):
+            self.flat = grown(self.flat, self.used, used)
+        own = slice(self.n, n)
+        self.sizes[own], self.starts[own] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : used] = flat
+        places = np.arange(self.n, n)
+        self.table.put(hashes, places.astype(np.int32))
+        self.n, self.used = n, used
+        return places
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of values of each place, and all values in order."""
+        n = self.sizes[places].astype(np.int64)
+        return n, self.flat[np.repeat(self.starts[places] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class ByteSpanCache(SpanCache):
+    """Encoded spans of bytes, found by hash and compared by their bytes."""
+
+    def clear(self) -> None:
+        super().clear()
         self.heads, self.tails, self.lengths = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.long: dict[int, bytes] = {}
 
-    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct spans' places (-1: not held), the first span of each, and the distinct one of every span. Collision if hashes of unequal spans are equal."""
         hashes, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         heads, tails = _edges(data, starts, ends)
@@ -91,10 +132,7 @@ class SpanCache:
         long = length > 2 * _EDGE
         if any(span(k) != span(alike[k]) for k in np.flatnonzero(long & (alike != np.arange(len(starts)))).tolist()):
             raise Collision
-        places = self.table.get(hashes)
-        if self.n + int((places < 0).sum()) > self.most and self.n:
-            self.clear()
-            places = np.full(len(hashes), -1, np.int32)
+        places = self.find(hashes)
         held = np.flatnonzero(places >= 0)
         at, own = places[held], first[held]
         if (self.heads[at] != heads[own]).any() or (self.tails[at] != tails[own]).any() or (self.lengths[at] != length[own]).any():
@@ -106,27 +144,16 @@ class SpanCache:
         self._fresh = hashes[self.new], heads[own], tails[own], length[own], {k: span(j) for k, j in enumerate(own.tolist()) if long[j]}
         return places, first, back
 
-    def add(self, order: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        """Holds the spans that find() has just missed, in an order, with their values one after the other; their places in that order."""
+    def add_spans(self, order: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Holds the spans that find_spans() has just missed, in an order, with their values one after the other; their places in that order."""
         hashes, heads, tails, lengths, long = self._fresh
-        n, used = self.n + len(order), self.used + len(flat)
-        for name in ("starts", "sizes", "heads", "tails", "lengths"):
+        n = self.n + len(order)
+        for name in ("heads", "tails", "lengths"):
             if n > len(getattr(self, name)):
-                setattr(self, name, np.concatenate([getattr(self, name)[: self.n], np.zeros(n + (n >> 1) - self.n, getattr(self, name).dtype)]))
-        if used > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(used + (used >> 1) - self.used, np.int32)])
+                setattr(self, name, grown(getattr(self, name), self.n, n))
         own = slice(self.n, n)
-        self.sizes[own], self.starts[own] = sizes, self.used + np.cumsum(sizes) - sizes
         self.heads[own], self.tails[own], self.lengths[own] = heads[order], tails[order], lengths[order]
-        self.flat[self.used : used] = flat
-        places = np.arange(self.n, n)
+        places = self.add(hashes[order], sizes, flat)
         if long:
             self.long |= {int(p): long[k] for p, k in zip(places, order.tolist(), strict=True) if k in long}
-        self.table.put(hashes[order], places.astype(np.int32))
-        self.n, self.used = n, used
         return places
-
-    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of values of each place, and all values in order."""
-        n = self.sizes[places].astype(np.int64)
-        return n, self.flat[np.repeat(self.starts[places] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.staging import bound_batches, lean, partitions_for
-from quire.llm.table import Collision, SpanCache
+from quire.llm.table import ByteSpanCache, Collision
 from quire.llm.text import slices, text_bytes
 
 MAGIC = b"QTOK1\0"
@@ -179,7 +179,7 @@ class PieceEncoder:
         how = json.loads(definition)
         if how["normalizer"] or (how["pre_tokenizer"] or {}).get("type") != "ByteLevel" or not how["pre_tokenizer"].get("use_regex", True) or how["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only byte-level tokenizers that split by their usual pattern, without normaliser and prefix, are taken")
-        self.known = SpanCache()
+        self.known = ByteSpanCache()
         n = self.tokenizer.get_vocab_size()
         self.width = 2 if n <= 1 << 16 else 4
         added = {k: v.content for k, v in self.tokenizer.get_added_tokens_decoder().items()}
@@ -215,7 +215,7 @@ class PieceEncoder:
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         try:
-            places, first, back = self.known.find(data, starts, ends)
+            places, first, back = self.known.find_spans(data, starts, ends)
         except Collision:  # texts as they are
             own = self._ids([data[a:b].tobytes().decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
             return np.concatenate([x for ids in own for x in (ids, [end])]), np.cumsum([len(ids) + 1 for ids in own])
@@ -232,7 +232,7 @@ class PieceEncoder:
             flat.append(ids)
         alone = self._ids([p.decode() for p in pieces[joined:]])
         sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
-        places[new[order]] = self.known.add(order, np.concatenate(sizes), np.concatenate([*flat, *alone, np.zeros(0, np.int32)]))
+        places[new[order]] = self.known.add_spans(order, np.concatenate(sizes), np.concatenate([*flat, *alone, np.zeros(0, np.int32)]))
         n, tokens = self.known.gather(places[back])
         upto = np.append(0, np.cumsum(n))[np.searchsorted(starts, bounds)]
         return np.insert(tokens, upto[1:], end), upto[1:] + np.arange(1, len(bounds))
