@@ -10,6 +10,7 @@ Empty tables pass through; null texts go in the first stage; columns beside thos
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose rate is nearer to 1 than to 0."""
-    rates = mixing.mixed(docs, labelled_domains(spark, sf_dir), None, keep_totals=KEPT)
-    kept = staging.stage(rates.where("rate >= 0.5").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    return mixing.rated(docs, labelled_domains(spark, sf_dir), None, keep_totals=KEPT)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +66,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages on documents, each written and read again. What a stage leaves behind on its way, and what the one before it kept, goes once it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = staging.stage(stage(spark, docs, sf_dir), name, free=True)
+        docs, spent = staging.result(partial(stage, spark, docs, sf_dir), name), before
+        if spent is not None:
+            staging.drop(spent)
+        before = docs
     return docs

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import bloom
-from quire.llm.staging import stage
+from quire.llm.staging import drop, stage
 
 
 def normal_text(text: Column) -> Column:
@@ -54,6 +54,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         digests.where(bloom.maybe_repeated(filled, F.xxhash64("text_sha256"))).groupBy("text_sha256").agg(F.max("id").alias("__keep")),
         "keepers",
     ).withColumnRenamed("text_sha256", "__key")
+    drop(digests)
     # id and hash together are unique but for repeated rows, so no group is hot here
     stays = tested[key].eqNullSafe(keepers["__key"]) & tested[id_col].eqNullSafe(keepers["__keep"])
     found = tested.where(mark).join(keepers, stays, "left_semi").dropDuplicates([id_col, key])

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bloom
 from quire.llm.components import components
-from quire.llm.staging import bound_batches, drop, lean, partitions_for, stage
+from quire.llm.staging import bound_batches, drop, lean, partitions_for, result, stage
 from quire.llm.text import gram_hashes, mix, word_batches
 
 #: Words of a shingle; links need 100 * overlap >= PERCENT * union.
@@ -503,8 +503,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents with the least id of their group, with their columns. Only texts that may have to go are shuffled."""
-    gone = stage(near_duplicates(docs, id_col, text_col, shingle, percent).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")), "gone")
+    """The documents with the least id of their group, with their columns. Only texts that may have to go are shuffled; of the files on the way only the ids that go stay."""
+
+    def leaving() -> DataFrame:
+        return near_duplicates(docs, id_col, text_col, shingle, percent).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone"))
+
+    gone = result(leaving, "gone")
     keys = gone.select(F.xxhash64("__gone"))
     wanted = bloom.repeated_filter(keys.unionAll(keys), gone.count())
     mark = "__maybe"

@@ -23,11 +23,12 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.staging import bound_batches, stage
+from quire.llm.staging import bound_batches, drop, give_back, stage
 from quire.llm.text import word_batches
 
 BUCKETS = 1 << 16
@@ -199,6 +200,41 @@ def fit_rates(members: DataFrame, targets: np.ndarray, most_rounds: int = MOST_R
     return steps
 
 
+def _fitted(
+    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] | None, keep_totals: Mapping[str, float] | None, id_col: str, text_col: str,
+) -> tuple[DataFrame, DomainClassifier, list[np.ndarray]]:
+    """The staged posteriors of all documents, the classifier, and the rounds' vectors."""
+    wanted = targets if targets is not None else keep_totals
+    domains = sorted(wanted)
+    bound_batches(docs.sparkSession)
+    model = fit_classifier(docs, labelled, domains, id_col, text_col)
+    members = stage(posteriors(docs, model, id_col, text_col), "posteriors")
+    share = np.array([float(wanted[d]) for d in domains])
+    part = F.lit(1.0) if targets is not None else F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.array_position("p", F.array_max("p")).cast("int"))
+    total = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i] * part).alias(f"s{i}") for i in range(len(domains))]).first()
+    total = np.array([x or 0.0 for x in total])
+    return members, model, fit_rates(members, total.sum() * share / share.sum() if targets is not None else total)
+
+
+def rated(
+    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] | None, keep_totals: Mapping[str, float] | None = None, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The documents whose rate in mixed() is `least` or more, with their columns. A row's rate is found once more from its text, so that no text is shuffled."""
+    members, model, steps = _fitted(docs, labelled, targets, keep_totals, id_col, text_col)
+    drop(members)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows
+
+    @F.pandas_udf("double")
+    def rate(texts: pd.Series) -> pd.Series:
+        found = [np.zeros(0)]
+        for _, hashes, bounds in word_batches(np.arange(len(texts)), pa.array(texts, pa.string(), from_pandas=True), lower=True):
+            found.append(rates(shared.value.posteriors((hashes % np.uint64(BUCKETS)).astype(np.int64), bounds), steps))
+        give_back()
+        return pd.Series(np.round(np.concatenate(found), 9))
+
+    return docs.where(rate(text_col) >= least)
+
+
 def mixed(
     docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] | None, keep_totals: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -208,15 +244,8 @@ def mixed(
     probably in each domain whose expected tokens, of all domains, make up the targets (so that certain documents aren't cut for what little they seem
     to hold of another domain). copies rounds the rate up or down by the id's hash, so that copies have the rate as their mean.
     """
-    wanted = targets if targets is not None else keep_totals
-    domains = sorted(wanted)
-    bound_batches(docs.sparkSession)
-    members = stage(posteriors(docs, fit_classifier(docs, labelled, domains, id_col, text_col), id_col, text_col), "posteriors")
-    share = np.array([float(wanted[d]) for d in domains])
-    part = F.lit(1.0) if targets is not None else F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.array_position("p", F.array_max("p")).cast("int"))
-    total = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i] * part).alias(f"s{i}") for i in range(len(domains))]).first()
-    total = np.array([x or 0.0 for x in total])
-    steps = fit_rates(members, total.sum() * share / share.sum() if targets is not None else total)
+    domains = sorted(targets if targets is not None else keep_totals)
+    members, _, steps = _fitted(docs, labelled, targets, keep_totals, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROW_GROUP = 16 << 20
 
 _written: dict[str, list[str]] = {}
+#: Paths taken since the innermost result() began.
+_inside: ContextVar[list[str] | None] = ContextVar("inside", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +58,8 @@ def new_path(spark: SparkSession, name: str) -> str:
         _written[app] = []
         atexit.register(_delete, spark, _written[app])
     _written[app].append(path)
+    if (inside := _inside.get()) is not None:
+        inside.append(path)
     return path
 
 
@@ -72,6 +77,21 @@ def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def result(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s DataFrame, staged. What else was staged meanwhile is deleted, so nothing but the result may read it later."""
+    outer, inside = _inside.get(), []
+    token = _inside.set(inside)
+    try:
+        found = stage(make(), name, free=True)
+    finally:
+        _inside.reset(token)
+    *spent, own = inside  # stage() takes its path after all others
+    if outer is not None:
+        outer.append(own)
+    _delete(found.sparkSession, spent)
+    return found
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the folder of a staged DataFrame that nothing will read again."""
     folders = {x.rsplit("/", 1)[0] for x in df.inputFiles()}

@@ -1,7 +1,9 @@
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
-from quire.llm import language_id, staging
+from quire.llm import language_id, mixing, staging
+from quire.llm.queries import labelled_domains
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -44,3 +46,29 @@ def test_stages(spark, docs, tmp_path):
         assert now.columns == names or name == "sentencepiece"
     assert now.count() > 10 and language_id.UNKNOWN == "und"
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "source_mixing", "sentencepiece"]
+
+
+def _staged(spark):
+    """Folders that this session has staged and not deleted."""
+    folder = Path(staging.shared_dir(spark).removeprefix("file:")) / f"quire-{spark.sparkContext.applicationId}"
+    return {p.name for p in folder.glob("*")}
+
+
+def test_stages_leave_nothing_on_disk(spark, docs):
+    before = _staged(spark)
+    rows = STAGES["jaccard_join"](spark, docs.select("doc_id", "text"), SF)
+    assert [x.split("-")[0] for x in _staged(spark) - before] == ["gone"] and 10 < rows.count() < docs.count()
+    before = _staged(spark)
+    found = corpus_pipeline.run(spark, SF)
+    assert len(_staged(spark) - before) == 1 and found.count() > 10
+
+
+def test_mixing_shuffles_no_text(spark):
+    """The rates are those of mixed(), whatever the ids are, and no join brings them to the texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = labelled_domains(spark, SF)
+    rates = mixing.mixed(docs, labels, None, keep_totals=corpus_pipeline.KEPT)
+    want = {r.doc_id for r in rates.where("rate >= 0.5").collect()}
+    kept = STAGES["source_mixing"](spark, docs, SF)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want and 0 < len(want) < docs.count() and kept.columns == docs.columns
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
